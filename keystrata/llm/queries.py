@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import quality_rules
 from .bpe import round_trip
 from .common import read
 from .packing import pack
@@ -19,9 +20,13 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(read(spark, sf_dir, "documents"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_byte_bpe": op2_byte_bpe}
+    return {"op1_packing": op1_packing, "op2_byte_bpe": op2_byte_bpe, "op3_quality_rules": op3_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_quality_rules": quality_rules.ORACLE_SQL}
