@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import quality_rules, secrets
 from .bpe import round_trip
 from .common import read
 from .packing import pack
@@ -24,8 +24,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_byte_bpe": op2_byte_bpe, "op3_quality_rules": op3_quality_rules}
+    return {"op1_packing": op1_packing, "op2_byte_bpe": op2_byte_bpe, "op3_quality_rules": op3_quality_rules, "op5_secrets": op5_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
