@@ -10,6 +10,7 @@ from . import quality_rules, secrets
 from .bpe import round_trip
 from .common import read
 from .packing import pack
+from .simhash import near_duplicates
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,12 +25,16 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_byte_bpe": op2_byte_bpe, "op3_quality_rules": op3_quality_rules, "op5_secrets": op5_secrets}
+    return {"op1_packing": op1_packing, "op2_byte_bpe": op2_byte_bpe, "op3_quality_rules": op3_quality_rules, "op4_simhash": op4_simhash, "op5_secrets": op5_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
