@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import functools
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -33,7 +34,9 @@ END_ID = 2
 #: A window's number is its partition, shifted by so many bits, plus its number there.
 PARTITION_SHIFT = 36
 #: Word pieces that a Python worker remembers; the memory is emptied when full, which changes no result.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
+#: ASCII marks that may follow a word; the apostrophe, which begins contractions, is not among them.
+MARKS = b".,;:!?*$%&#|()[]{}\"-"
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, window long, offset long, filled long, open boolean"
 
@@ -42,7 +45,9 @@ class _Words(dict):
     """Token ids of a word as little-endian bytes, computed once per worker for each short word.
 
     The vocabulary's normaliser drops white space and its pieces never cross white space, so the ids of a text are
-    those of its words, one after the other.
+    those of its words, one after the other. Its pieces are runs of letters, or of marks, or single digits: marks
+    after a letter or digit can be split off. A word of small ASCII letters is one piece that no step before the
+    merges changes, so it goes to the library's merges at once; any other word goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -50,38 +55,32 @@ class _Words(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.merge = self.tokenizer.model.tokenize
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype="<u4").tobytes()
+        core = word.rstrip(MARKS)
+        if len(core) < len(word) and core[-1:].isalnum():
+            ids = self[core] + self[word[len(core) :]]
+        elif word.islower() and word.isalpha():
+            ids = array("I", [t.id for t in self.merge(word.decode())]).tobytes()
+        else:
+            ids = array("I", self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
         if len(word) <= 64:
             if len(self) >= REMEMBERED:
                 self.clear()
             self[word] = ids
         return ids
 
-    def learn(self, fresh: list[bytes]) -> None:
-        """Encode many new words in one call of the library."""
-        if len(self) + len(fresh) > REMEMBERED:
-            self.clear()
-        fresh = [w for w in fresh if len(w) <= 64][:REMEMBERED]
-        coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in fresh], add_special_tokens=False)
-        for w, c in zip(fresh, coded):
-            self[w] = np.array(c.ids, dtype="<u4").tobytes()
+    def split(self, text: bytes) -> list[bytes]:
+        """Words, with A-Z in lower case as the normaliser leaves them; names of special tokens keep their case."""
+        return (text if b"<|" in text else text.lower()).split()
 
 
 @functools.lru_cache(maxsize=2)
 def _word_ids(path: str) -> _Words:
-    import os
-
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return _Words(path)
 
 
-def encode_words(text: bytes, cache: _Words) -> bytes:
-    """The ids of a text as little-endian unsigned 32-bit integers."""
-    return b"".join(map(cache.__getitem__, text.split()))
-
-
 class Packer:
     """The open windows of one stream of pieces. ``place`` returns the window of a piece and the windows it closed."""
 
@@ -116,20 +115,16 @@ class Packer:
 def _pack_partition(batches: Iterator[pd.DataFrame], path: str, capacity: int, open_windows: int) -> Iterator[pd.DataFrame]:
     cache, packer, held = _word_ids(path), Packer(capacity, open_windows), []
     base = TaskContext.get().partitionId() << PARTITION_SHIFT
-    end = np.array([END_ID], dtype="<u4").tobytes()
+    end = array("I", [END_ID]).tobytes()
     for batch in batches:
-        texts = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in batch["text"]]
-        step = 256
-        for i in range(0, len(texts), step):
-            part = [t.split() for t in texts[i : i + step]]
-            cache.learn(list(set().union(*part).difference(cache)))
-            for doc_id, parts in zip(batch["doc_id"].iloc[i : i + step], part):
-                ids = b"".join(map(cache.__getitem__, parts)) + end
-                total = len(ids) // 4
-                for start in range(0, total, capacity):
-                    length = min(capacity, total - start)
-                    window, offset, _ = packer.place(length)
-                    held.append((None if pd.isna(doc_id) else int(doc_id), start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), total, base + window, offset))
+        for doc_id, text in zip(batch["doc_id"], batch["text"]):
+            parts = cache.split(b"" if text is None else text.encode("utf-8", "surrogatepass"))
+            ids = b"".join(map(cache.__getitem__, parts)) + end
+            total = len(ids) // 4
+            for start in range(0, total, capacity):
+                length = min(capacity, total - start)
+                window, offset, _ = packer.place(length)
+                held.append((None if pd.isna(doc_id) else int(doc_id), start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), total, base + window, offset))
         # rows of windows that are no longer open can go; the others wait for their window
         still = {base + w for w in packer.open()}
         done = [r for r in held if r[5] not in still]
@@ -193,7 +188,10 @@ def pack(
     )
     last = moves.agg(F.max("part")).first()[0]
     groups = 0 if last is None else int(last) + 1
-    merge = functools.partial(_merge_group, capacity=capacity, open_windows=open_windows)
+
+    def merge(key, frame: pd.DataFrame) -> pd.DataFrame:
+        return _merge_group(key, frame, capacity, open_windows)
+
     while groups:
         groups = -(-groups // fan_in)
         heads = moves.where("live").withColumn("part", F.expr(f"part div {fan_in}"))
