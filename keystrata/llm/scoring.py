@@ -29,7 +29,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -94,6 +93,11 @@ class Level:
         self.weight = np.ones(len(keys))
         self.log_weighted = log_block(zeros, ones)
 
+    def slim(self) -> None:
+        """Keep what prediction needs."""
+        self.zeros = self.ones = self.log_weighted = None
+        self.one, self.weight = self.one.astype(np.float32), self.weight.astype(np.float32)
+
     def mix(self, below: np.ndarray) -> None:
         """``below``: sum of the children's log weighted probabilities."""
         own = self.log_weighted + math.log(0.5)
@@ -148,6 +152,9 @@ class Tree:
         self.shift, self.mask = U(64 - bits), U((1 << bits) - 1)
         self.keys = np.full(1 << bits, U((1 << 64) - 1))
         self.values = np.zeros(1 << bits)
+        for own in self.nodes.values():
+            for level in own:
+                level.slim()
         self._fill(codes, self.log10_of(codes))
 
     @staticmethod
@@ -169,8 +176,8 @@ class Tree:
                 key = (codes & U((1 << 8 * (d + 1)) - 1)) >> U(8 - j)
                 at = np.minimum(np.searchsorted(level.keys, key), len(level.keys) - 1)
                 here = level.keys[at] == key
-                w = np.where(some, level.weight[at], 1.0)
-                p = np.where(here, w * level.one[at] + (1 - w) * p, p)
+                w = np.where(some, level.weight[at].astype(np.float64), 1.0)
+                p = np.where(here, w * level.one[at].astype(np.float64) + (1 - w) * p, p)
                 some |= here
             out += np.log10(np.where(bit, p, 1 - p))
         return out
@@ -365,15 +372,13 @@ def _first_block(batches: Iterator[pd.DataFrame], model_parts: tuple) -> Iterato
     known, ends = head.value
     logs = {w: _base_of(n, tokens, distinct) for w, n in known.items()}
     end_log = _base_of(ends, tokens, distinct)
-    number = TaskContext.get().partitionId() << 40
     for batch in batches:
         texts = [prepared(t) for t in batch["text"]]
         for at in _groups(texts):
             parts = texts[at]
             scores = _block_scores(tree, parts, depth, member, 0)
             rows, rare_row, rare_word, rare_n = [], [], [], []
-            for doc_id, held_out, text, score in zip(batch["doc_id"].iloc[at], batch["held_out"].iloc[at], parts, scores):
-                number += 1
+            for number, doc_id, held_out, text, score in zip(batch["row"].iloc[at], batch["doc_id"].iloc[at], batch["held_out"].iloc[at], parts, scores):
                 total, n_known, base = 1, int(ends > 0), end_log
                 for w, n in Counter(text.split()).items():
                     total += n
@@ -415,21 +420,19 @@ def _block_scores(tree: Tree, texts: list[bytes], depth: int, member: np.ndarray
 
 
 def _later_block(batches: Iterator[pd.DataFrame], depth: int, block, member: np.ndarray, number: int) -> Iterator[pd.DataFrame]:
-    """What another block adds to the scores; rows are numbered as in the first pass, over the same partitions."""
+    """What another block adds to the scores."""
     tree = _tree(block, depth)
-    row = TaskContext.get().partitionId() << 40
     for batch in batches:
         texts = [prepared(t) for t in batch["text"]]
         for at in _groups(texts):
-            scores = _block_scores(tree, texts[at], depth, member, number)
-            yield pd.DataFrame({"row": np.arange(row + 1, row + 1 + len(scores), dtype=np.int64), "more": scores})
-            row += len(scores)
+            yield pd.DataFrame({"row": batch["row"].iloc[at].to_numpy("int64"), "more": _block_scores(tree, texts[at], depth, member, number)})
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """Scores of each row of ``docs(doc_id, text, held_out)``; ``docs`` must give equal partitions when read again."""
     ship(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "held_out")
+    # a row's number follows from its place in its partition
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", "held_out")
     member = model.member if len(model.blocks) > 1 else None
     parts = (model.depth, model.blocks[0], member, model.head, model.tokens, model.distinct)
     first = stage(rows.mapInPandas(functools.partial(_first_block, model_parts=parts), _ROWS), "scored")
