@@ -3,7 +3,8 @@
 Each language has a dictionary: whole training texts up to a fixed number of bytes, as raw content for zstandard. A
 text is compressed once with each dictionary; the language whose dictionary leaves the fewest bytes is chosen. Where
 the two smallest sizes are close, relative to the text, the answer is marked as rejected. Short texts are compressed
-with a strategy that finds shorter matches.
+with a strategy that finds shorter matches. Dictionaries and texts are in lower case, with one space for every run of
+ASCII characters that are no letters, so that capitals and marks do not hide the words.
 
 Cases: a text that is null or has no letter is ``und`` with score 0; equal sizes go to the language whose dictionary
 holds more of the text's words, then to the more frequent language, then to the first name; very long texts are
@@ -34,6 +35,14 @@ NARROW_BYTES, NARROW_PART = 2, 0.01
 SHARPNESS = 60.0
 
 
+_LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
+
+
+def prepared(text: str) -> bytes:
+    """Lower case, and single spaces for what is no letter in ASCII."""
+    return b" ".join(text.lower().encode("utf-8", "surrogatepass").translate(_LETTERS).split())
+
+
 class Model:
     """The dictionaries of all languages, and what breaks ties."""
 
@@ -45,7 +54,7 @@ class Model:
     def _join(texts: list[str]) -> bytes:
         out, size = [], 0
         for t in texts:
-            raw = t.encode("utf-8", "surrogatepass") + b"\n"
+            raw = prepared(t) + b" "
             if size + len(raw) <= DICTIONARY:
                 out.append(raw)
                 size += len(raw)
@@ -77,7 +86,7 @@ def classify(text: str | None, langs: list[str], content: tuple[bytes, ...]) ->
     """Language, score, and whether the margin is too narrow to trust."""
     if text is None or not langs or not any(map(str.isalpha, text)):
         return "und", 0.0, True
-    raw = text.encode("utf-8", "surrogatepass")
+    raw = prepared(text)
     size = sizes(raw, content)
     least = min(size)
     tied = [i for i, s in enumerate(size) if s == least]
