@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -205,6 +206,19 @@ def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     return rows.mapInPandas(functools.partial(_score, model=small), f"{kept}, score double")
 
 
+def _keep(batches: Iterator[pa.RecordBatch], model: Model, threshold: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        good = [model.score(features(t)) >= threshold for t in batch.column("text").to_pylist()]
+        yield batch.filter(pa.array(good, pa.bool_()))
+
+
+def keep(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score at least ``threshold``, with all their columns."""
+    ship(docs.sparkSession)
+    small = Model(model.weights.astype(np.float32), model.ratios.astype(np.float32), model.bias, model.slope, model.offset)
+    return docs.mapInArrow(functools.partial(_keep, model=small, threshold=threshold), docs.schema)
+
+
 def fit_quality(docs: DataFrame, labels: DataFrame) -> Model:
     """Learn ``labels.quality`` from the rows whose id's crc32 modulo 5 is not 0."""
     quality = labels.select("doc_id", F.col("quality").alias("label")).where(crc_mod(F.col("doc_id"), 5) != 0)

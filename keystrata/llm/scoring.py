@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import crc_mod, ship, stage
 
 #: Bytes of context; sequences in a block; frequent words that every task holds.
-DEPTH, BLOCK, HEAD = 4, 1_000_000, 150_000
+DEPTH, BLOCK, HEAD = 4, 1_000_000, 100_000
 END = 0xFF
 #: Bytes that are worked on at once, distinct words and sequences that a task counts before it emits them.
 AT_ONCE, HELD = 2_000_000, 400_000
@@ -129,14 +129,20 @@ def children(parents: Level, kids: Level, depth: int, j: int) -> np.ndarray:
     return np.bincount(at, weights=kids.log_weighted, minlength=len(parents.keys))
 
 
-def subtree(codes: np.ndarray, counts: np.ndarray, depth: int, top: int) -> dict[int, list[Level]]:
-    """Mixed levels of the depths from ``top`` to ``depth`` of the contexts in a block."""
+def subtree(codes: np.ndarray, counts: np.ndarray, depth: int, top: int, whole: bool = True) -> dict[int, list[Level]]:
+    """Mixed levels of the depths from ``top`` to ``depth`` of the contexts in a block; only ``top`` if not ``whole``."""
     out: dict[int, list[Level]] = {}
     for d in range(depth, top - 1, -1):
-        out[d] = levels(*(shorter(codes, counts, d) if d < depth else (codes, counts)), d)
+        if d < depth:
+            codes, counts = shorter(codes, counts, d)
+        out[d] = levels(codes, counts, d)
         if d < depth:
             for j in range(8):
                 out[d][j].mix(children(out[d][j], out[d + 1][j], d, j))
+                if whole:
+                    out[d + 1][j].slim()
+            if not whole:
+                del out[d + 1]
     return out
 
 
@@ -146,15 +152,14 @@ class Tree:
     def __init__(self, codes: np.ndarray, counts: np.ndarray, top_levels: dict[int, list[tuple]], depth: int):
         self.depth = depth
         self.nodes = subtree(codes, counts, depth, len(top_levels))
+        for level in self.nodes[len(top_levels)]:
+            level.slim()
         for d, rows in top_levels.items():
             self.nodes[d] = [self._given(*r) for r in rows]
         bits = max(10, int(3 * max(1, len(codes)) - 1).bit_length())
         self.shift, self.mask = U(64 - bits), U((1 << bits) - 1)
         self.keys = np.full(1 << bits, U((1 << 64) - 1))
         self.values = np.zeros(1 << bits)
-        for own in self.nodes.values():
-            for level in own:
-                level.slim()
         self._fill(codes, self.log10_of(codes))
 
     @staticmethod
@@ -273,7 +278,7 @@ def _train(batches: Iterator[pd.DataFrame], depth: int) -> Iterator[pd.DataFrame
 def _summaries(key, frame: pd.DataFrame, depth: int, top: int) -> pd.DataFrame:
     """What a block adds to the nodes of depth ``top - 1``: their children's counts and log probabilities."""
     frame = frame.sort_values("code")
-    own = subtree(frame["code"].to_numpy("int64").view(np.uint64), frame["n"].to_numpy("int64"), depth, top)[top]
+    own = subtree(frame["code"].to_numpy("int64").view(np.uint64), frame["n"].to_numpy("int64"), depth, top, whole=False)[top]
     out = []
     for j, level in enumerate(own):
         parent = level.keys & U((1 << (8 * (top - 1) + j)) - 1)

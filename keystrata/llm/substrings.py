@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -239,18 +240,18 @@ def cut_text(text: str, covered: list[tuple[int, int]]) -> str:
     return "".join(out)
 
 
-def _remove(batches: Iterator[pd.DataFrame], width: int, text_column: str) -> Iterator[pd.DataFrame]:
+def _remove(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        place = batch.schema.get_field_index("text")
         texts = []
-        for text, whole, starts in zip(batch[text_column], batch["__whole"], batch["__starts"]):
-            if text is not None and whole is True:
+        for text, whole, starts in zip(*(batch.column(c).to_pylist() for c in ("text", "__whole", "__starts"))):
+            if text is not None and whole:
                 text = cut_text(text, [(0, len(encoded(text).split()))])
             elif text is not None and starts is not None:
-                text = cut_text(text, intervals(list(starts), width))
+                text = cut_text(text, intervals(starts, width))
             texts.append(text)
-        out = batch.drop(columns=["__whole", "__starts"])
-        out[text_column] = texts
-        yield out
+        out = batch.set_column(place, batch.schema.field(place), pa.array(texts, batch.schema.field(place).type))
+        yield out.drop_columns(["__whole", "__starts"])
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) -> DataFrame:
@@ -262,4 +263,4 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) ->
     marks = stage(marks.withColumnsRenamed({"doc_id": "__id", "k": "__k"}), "marks")
     match = (F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == marks["__id"]) & (F.xxhash64(docs["text"]) == marks["__k"])
     marked = docs.join(marks, match, "left").drop("__id", "__k")
-    return marked.mapInPandas(functools.partial(_remove, width=width, text_column="text"), docs.schema)
+    return marked.mapInArrow(functools.partial(_remove, width=width), docs.schema)
