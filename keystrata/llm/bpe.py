@@ -17,9 +17,11 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+from collections import ChainMap
 from collections.abc import Iterator
 
 import duckdb
+import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
@@ -29,8 +31,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Words (and parts of texts) remembered by a worker, the longest remembered, and words in one query.
-REMEMBERED, LONGEST, AT_ONCE = 400_000, 48, 40_000
+#: Words remembered by a worker, the longest remembered, and words in one query.
+REMEMBERED, LONGEST, AT_ONCE = 700_000, 48, 40_000
 #: Characters of text that are looked up at once.
 AT_A_TIME = 6_000_000
 
@@ -38,20 +40,23 @@ ENCODE = """
 WITH RECURSIVE step(word, toks) USING KEY (word) AS (
     SELECT word, toks FROM fresh
   UNION
-    SELECT best.word, best.toks[:best.at - 1] || [best.made] || best.toks[best.at + 2:]
-    FROM (
-        SELECT pos.word, any_value(pos.toks) AS toks, arg_min(pos.at, (m.made, pos.at)) AS at, min(m.made) AS made
-        FROM (SELECT word, toks, unnest(range(1, len(toks))) AS at FROM step) AS pos
-        JOIN merges AS m ON m.a = pos.toks[pos.at] AND m.b = pos.toks[pos.at + 1]
-        GROUP BY pos.word
-    ) AS best
+    SELECT s.word, s.toks[:b.place - 1] || [b.made] || s.toks[b.place + 2:]
+    FROM step AS s JOIN (
+        SELECT word, (least % {places})::INT AS place, (least // {places})::INT AS made
+        FROM (
+            SELECT p.word, min(m.made::BIGINT * {places} + p.place) AS least
+            FROM (SELECT word, unnest(range(1, len(toks))) AS place, unnest(toks[:-2]) AS a, unnest(toks[2:]) AS b FROM step) AS p
+            JOIN merges AS m ON m.a = p.a AND m.b = p.b
+            GROUP BY p.word
+        )
+    ) AS b ON b.word = s.word
 )
 SELECT word, toks FROM step
-"""
+""".format(places=1 << 31)
 
 DECODE = """
-SELECT t.word, string_agg(v.hex, '' ORDER BY t.at) AS hex
-FROM (SELECT word, unnest(toks) AS tok, unnest(range(1, len(toks) + 1)) AS at FROM coded) AS t
+SELECT t.word, string_agg(v.hex, '' ORDER BY t.place) AS hex
+FROM (SELECT word, unnest(toks) AS tok, unnest(range(1, len(toks) + 1)) AS place FROM coded) AS t
 JOIN vocabulary AS v ON v.token = t.tok
 GROUP BY t.word
 """
@@ -78,8 +83,7 @@ class Codec:
     def __init__(self, ranks_path: str, pattern: str):
         self.ranks = load_ranks(ranks_path)
         self.split = regex.compile(pattern).findall
-        self.odd = regex.compile(r"\A\s|\s\Z| \s|\s ").search
-        self.byte_token = [self.ranks[bytes([i])] for i in range(256)]
+        self.byte_token = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "250MB", "preserve_insertion_order": False})
         rows = merge_rows(self.ranks)
         merges = pa.table({n: pa.array([r[i] for r in rows], pa.int32()) for i, n in enumerate(("a", "b", "made"))})
@@ -87,9 +91,8 @@ class Codec:
         for name, table in (("merges", merges), ("vocabulary", vocabulary)):
             self.db.register("given", table)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
-        #: word, or part of a text -> (number of ids, ids in decimal joined by commas, bytes decoded from the ids)
-        self.words: dict[str, tuple[int, str, bytes]] = {}
-        self.known: dict[str, tuple[int, str, bytes]] = {}
+        #: word -> (ids in decimal joined by commas, bytes decoded from the ids)
+        self.words: dict[str, tuple[str, bytes]] = {}
 
     def encode_words(self, found: list[bytes]) -> list[list[int]]:
         """Token ids of each word; a word that is a token is that token."""
@@ -97,12 +100,9 @@ class Codec:
         todo = [i for i, ids in enumerate(out) if ids is None]
         for k in range(0, len(todo), AT_ONCE):
             part = todo[k : k + AT_ONCE]
-            start = pa.table(
-                {
-                    "word": pa.array(part, pa.int32()),
-                    "toks": pa.array([[self.byte_token[b] for b in found[i]] for i in part], pa.list_(pa.int32())),
-                }
-            )
+            offsets = np.cumsum([0, *[len(found[i]) for i in part]], dtype=np.int32)
+            tokens = self.byte_token[np.frombuffer(b"".join([found[i] for i in part]), dtype=np.uint8)]
+            start = pa.table({"word": pa.array(part, pa.int32()), "toks": pa.ListArray.from_arrays(offsets, tokens)})
             self.db.register("fresh", start)
             coded = self.db.sql(ENCODE).to_arrow_table()
             for word, toks in zip(coded["word"].to_pylist(), coded["toks"].to_pylist()):
@@ -120,35 +120,17 @@ class Codec:
                 out[word] = bytes.fromhex(text)
         return out
 
-    def parts(self, text: str) -> list[str]:
-        """Pieces of a text that can be split and encoded apart: at single spaces between other characters the
-        pattern always starts a new match. Texts with other white space next to a space are one piece."""
-        if not text:
-            return []
-        if self.odd(text):
-            return self.split(text)
-        first, *rest = text.split(" ")
-        return [first, *(" " + r for r in rest)]
-
-    def lookup(self, parts: set[str]) -> dict[str, tuple[int, str, bytes]]:
-        """Ids and decoded bytes of every part; what is not remembered is returned."""
-        fresh = parts.difference(self.known)
-        if len(self.known) + len(fresh) > REMEMBERED:
-            self.known.clear()
-            fresh = parts
-        split = {p: self.split(p) for p in fresh}
-        new = set().union(*split.values())
+    def lookup(self, found: set[str]) -> dict[str, tuple[str, bytes]]:
+        """Encode and decode the words that are not remembered; those too long to remember are returned."""
+        new = found.difference(self.words)
         if len(self.words) + len(new) > REMEMBERED:
             self.words.clear()
-        new = list(new.difference(self.words))
+            new = found
+        new = list(new)
         coded = self.encode_words([w.encode("utf-8", "surrogatepass") for w in new])
-        table = {w: (len(ids), ",".join(map(str, ids)), text) for w, ids, text in zip(new, coded, self.decode_words(coded))}
-        self.words.update((w, v) for w, v in table.items() if len(w) <= LONGEST)
         extra = {}
-        for part, found in split.items():
-            own = [self.words.get(w) or table[w] for w in found]
-            value = own[0] if len(own) == 1 else (sum([v[0] for v in own]), ",".join([v[1] for v in own]), b"".join([v[2] for v in own]))
-            (self.known if len(part) <= LONGEST else extra)[part] = value
+        for w, ids, text in zip(new, coded, self.decode_words(coded)):
+            (self.words if len(w) <= LONGEST else extra)[w] = (",".join(map(str, ids)), text)
         return extra
 
 
@@ -174,13 +156,15 @@ def _digest(batches: Iterator[pd.DataFrame], path: str, pattern: str) -> Iterato
     for batch in batches:
         texts = ["" if t is None else t for t in batch["text"]]
         for at in _slices(texts):
-            split = [codec.parts(t) for t in texts[at]]
+            split = [codec.split(t) for t in texts[at]]
             extra = codec.lookup(set().union(*split))
+            known = ChainMap(codec.words, extra) if extra else codec.words
             rows = []
-            for doc_id, parts in zip(batch["doc_id"].iloc[at], split):
-                found = [codec.known.get(p) or extra[p] for p in parts]
-                ids = ",".join([f[1] for f in found])
-                rows.append((doc_id, sum([f[0] for f in found]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(b"".join([f[2] for f in found])).hexdigest()))
+            for doc_id, found in zip(batch["doc_id"].iloc[at], split):
+                coded = [known[w] for w in found]
+                ids = ",".join([c[0] for c in coded])
+                text = b"".join([c[1] for c in coded])
+                rows.append((doc_id, ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text).hexdigest()))
             out = pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
