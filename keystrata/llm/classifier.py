@@ -23,10 +23,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, ship
+from .common import crc_mod, ship, stage
 
 #: Feature columns, labelled texts of each class, smoothing of counts, bound of the dual variables, passes.
 COLUMNS, PER_CLASS, SMOOTH, BOUND, PASSES = 1 << 18, 4000, 1.0, 1.0, 12
@@ -187,8 +187,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     ship(docs.sparkSession)
     known = labels.where("doc_id is not null and label in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("label").cast("int").alias("label"))
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    drawn = known.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_class).drop("nth")
+    known = stage(known, "labels")
+    # the first of each class by hashed id: Spark keeps so many in every task before they meet
+    one, zero = (known.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (1, 0))
+    drawn = one.unionByName(zero)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(drawn), "doc_id")
     rows = texts.mapInPandas(_feature_rows, "doc_id long, label int, columns array<int>").toPandas()
     rows["order"] = [xxhash.xxh64_intdigest(str(i).encode()) for i in rows["doc_id"]]

@@ -52,7 +52,7 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
         shift = np.where(low, shift - np.log(np.where(low, y, 1.0)), shift)
         y = np.where(low, y + 1, y)
     r = 1 / (y * y)
-    return shift + (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + (1 / 12 - r * (1 / 360 - r * (1 / 1260 - r / 1680))) / y
+    return shift + (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + (1 / 12 - r * (1 / 360 - r * (1 / 1260 - r * (1 / 1680 - r / 1188)))) / y
 
 
 def log_block(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -147,24 +147,3 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = RADIUS) -> Da
     prints = stage(fingerprints(docs, width), "fingerprints")
     found = groups(prints, radius)
     return found.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame, width: int = 5, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` without near duplicates: of each group the row of smallest doc_id stays, rows without an
-    id last, ties by a hash of the text; of rows equal in id and text one stays. All columns stay."""
-    spark = docs.sparkSession
-    ship(spark)
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("k"), "text")
-    prints = keyed.mapInPandas(functools.partial(_fingerprints, width=width), "doc_id long, k long, print long")
-    prints = stage(prints, "fingerprints")
-    found = groups(prints.select("doc_id", "print"), radius).select("print", F.col("component_id").alias("c")).distinct()
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k")
-    best = stage(prints.join(found, "print").withColumn("group", F.coalesce("c", "print")).groupBy(F.col("c").isNull(), "group").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("n")), "best")
-    names = {"best.doc_id": "__id", "best.k": "__k"}
-    keep = stage(best.select(*[F.col(c).alias(n) for c, n in names.items()]), "keep")
-    kept = docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(keep["__id"]) & (F.xxhash64(docs["text"]) == keep["__k"]), "left_semi")
-    # rows that are equal in id and text: all but one go
-    again = prints.groupBy("doc_id", "k").count().where("count > 1")
-    if again.isEmpty():
-        return kept
-    return kept.withColumn("__k", F.xxhash64("text")).dropDuplicates(["doc_id", "__k"]).drop("__k")
