@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keystrata.llm import classifier, secrets, simhash, substrings
+from keystrata.llm import classifier, secrets, similar, substrings
 from keystrata.llm.common import read, stage
 from keystrata.llm.packing import pack
 
@@ -20,8 +20,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, that of smallest doc_id."""
-    return simhash.one_of_each(docs)
+    """One document of each group of near duplicates stays, that of smallest doc_id: texts whose sets of five-word
+    shingles are similar to 0.8 or more, found by SimHash fingerprints and shared shingles."""
+    return similar.one_of_each(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
