@@ -70,4 +70,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality_rules.ORACLE_SQL}
+    return {"op3_quality_rules": quality_rules.ORACLE_SQL, "op5_secrets": secrets.oracle_sql(), "op7_substrings": substrings.ORACLE_SQL}

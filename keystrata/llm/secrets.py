@@ -168,3 +168,25 @@ def redact(docs: DataFrame, marker: str = "[SECRET]", rules: tuple[Rule, ...] =
     text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(let(F.col("text"), cut))
     out = joined.withColumn("text", text).drop(key, "__spans")
     return out.select(*docs.columns)
+
+
+def oracle_sql(rules: tuple[Rule, ...] = RULES) -> str:
+    """``digest`` in DuckDB: texts are scanned row by row, without a ledger."""
+    found = []
+    for i, r in enumerate(rules):
+        p = r.pattern.replace("'", "''")
+        found.append(
+            f"SELECT r, {i} AS ord, '{r.kind}' AS kind, string_split_regex(text, '{p}') AS parts, regexp_extract_all(text, '{p}') AS whole, "
+            f"regexp_extract_all(text, '{p}', {r.group}) AS judged, {r.least} AS least FROM d WHERE regexp_matches(text, '{p}')"
+        )
+    name = "concat(kind, ':', CAST(a AS BIGINT), ':', CAST(a + size AS BIGINT))"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+f AS ({" UNION ALL ".join(found)}),
+i AS (SELECT *, unnest(range(1, len(whole) + 1)) AS n FROM f),
+s AS (SELECT r, ord, kind, list_sum(list_transform(parts[:n], lambda x: length(x))) + coalesce(list_sum(list_transform(whole[:n - 1], lambda x: length(x))), 0) AS a,
+  length(whole[n]) AS size FROM i WHERE length(judged[n]) >= least),
+t AS (SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  string_agg({name}, ',' ORDER BY a, ord) FILTER (ord < {len(BASE)}) AS base, string_agg({name}, ',' ORDER BY a, ord) AS spans FROM s GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN t USING (r)"""

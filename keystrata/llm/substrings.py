@@ -264,3 +264,16 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) ->
     match = (F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == marks["__id"]) & (F.xxhash64(docs["text"]) == marks["__k"])
     marked = docs.join(marks, match, "left").drop("__id", "__k")
     return marked.mapInArrow(functools.partial(_remove, width=width), docs.schema)
+
+
+#: ``digest`` in DuckDB: windows as strings, counted by a window function.
+ORACLE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0b\f\r]+') AS words FROM documents),
+w AS (SELECT r, doc_id, j, array_to_string(words[j:j + 49], ' ') AS win FROM (SELECT *, unnest(range(1, len(words) - 48)) AS j FROM d WHERE len(words) >= 50)),
+m AS (SELECT r, doc_id, j, min(doc_id) OVER (PARTITION BY win) AS first FROM w),
+gone AS (SELECT DISTINCT r, unnest(range(j, j + 50)) AS p FROM m WHERE first < doc_id),
+keep AS (SELECT d.r, p.p, d.words[p.p] AS word FROM d, LATERAL (SELECT unnest(range(1, len(d.words) + 1)) AS p) AS p ANTI JOIN gone ON gone.r = d.r AND gone.p = p.p),
+k AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS kept FROM keep GROUP BY r)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (r)
+"""

@@ -13,7 +13,7 @@ import tiktoken
 from fixtures import docs, empty, multiset, texts
 from tokenizers import Tokenizer
 
-from keystrata.llm import bpe, packing, quality_rules, secrets, substrings
+from keystrata.llm import bpe, packing, quality_rules, queries, secrets, substrings
 
 
 def sha(data):
@@ -112,12 +112,14 @@ def test_quality_rules_measures(spark):
     assert quality_rules.judge(empty(spark)).count() == 0
 
 
-def test_quality_rules_equal_sql(spark, sf_dir):
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_queries_equal_sql(spark, sf_dir, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
-    want = con.sql(quality_rules.ORACLE_SQL)
-    got = quality_rules.judge(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    want = con.sql(queries.oracle_sql()[name])
+    got = queries.queries()[name](spark, sf_dir)
     assert multiset(got, *want.columns) == sorted(want.fetchall(), key=repr)
+    assert [dict(got.dtypes)[c] for c in want.columns] == [{"BIGINT": "bigint", "VARCHAR": "string", "BOOLEAN": "boolean"}[str(t)] for t in want.types]
 
 
 def test_quality_rules_run_no_python(spark):
