@@ -115,6 +115,15 @@ def encode_table(versions: list[Version], block_bytes: int = 4096, hashes: list[
     return bytes(out) + body + struct.pack(">II", crc32c(body), at)
 
 
+def table_may_contain(table: bytes, h: int) -> bool:
+    """False if the filter rules out that a key with this 32-bit hash is in the table."""
+    (at,) = struct.unpack_from(">I", table, len(table) - 4)
+    bits, probes = table[at : len(table) - 9], table[len(table) - 9]
+    step = (h >> 17 | h << 15) % U32
+    places = ((h + i * step) % U32 % (8 * len(bits)) for i in range(probes))
+    return probes > 30 or all(bits[p // 8] >> p % 8 & 1 for p in places)
+
+
 def table_blocks(table: bytes) -> tuple[list[tuple[int, int, bytes, bytes]], int]:
     """(start, end, first key, last key) of every block, and the newest timestamp."""
     (filter_at,) = struct.unpack_from(">I", table, len(table) - 4)

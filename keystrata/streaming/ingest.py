@@ -35,3 +35,11 @@ def ingest(ops: DataFrame, store: Store, checkpoint: str, stream: str = "ingest"
 def event_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts by type and event-time window of a stream of events, with a watermark for late rows."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def live_state(versions: DataFrame) -> DataFrame:
+    """The newest version of every key of a stream of versions ``(key, ts, is_delete, value)``, as it changes.
+
+    State is one row for each key; write it in update mode. Deleted keys stay, marked, so that readers can drop them."""
+    newest = versions.groupBy("key").agg(F.max(F.struct("ts", "is_delete", "value")).alias("last"))
+    return newest.select("key", "last.ts", "last.is_delete", "last.value")
