@@ -11,6 +11,8 @@ import functools
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..shipping import ship
+
 #: Bytes of a 16-bit length or offset, of a timestamp, and of a block's checksum.
 U16, TS, CHECKSUM = 2, 8, 4
 
@@ -36,6 +38,7 @@ def _freeze(frame: pd.DataFrame, limit: int) -> pd.DataFrame:
 
 def freeze_points(log: DataFrame, limit: int) -> DataFrame:
     """``(run_id, buffer_no, ts, bytes)``: the writes after which a run's write buffer has reached ``limit`` bytes."""
+    ship(log.sparkSession)
     rows = log.select("run_id", "ts", "key", "value")
     return rows.groupBy("run_id").applyInPandas(_grouped(_freeze, limit=limit), "run_id int, buffer_no long, ts long, bytes long")
 
@@ -87,6 +90,7 @@ def pack_blocks(log: DataFrame, block: int) -> DataFrame:
 
 def split_tables(log: DataFrame, block: int, table: int | None) -> DataFrame:
     """``(run_id, table_no, block_no, key, ts)``: a new table starts at a new key once ``table`` bytes of blocks are done."""
+    ship(log.sparkSession)
     rows = log.select("run_id", "ts", "key", "value")
     kind = dict(rows.dtypes)["key"]
     return rows.groupBy("run_id").applyInPandas(_grouped(_pack, block=block, table=table), f"run_id int, table_no long, block_no long, key {kind}, ts long")

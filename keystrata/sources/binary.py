@@ -28,6 +28,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.bloom import Shape
 from ..functions.scalar import U32, crc32c
+from ..shipping import ship
 
 Version = tuple[bytes, int, bytes]  # an empty value deletes
 KINDS = ("compaction", "flush", "new_memtable")
@@ -280,5 +281,6 @@ class KvManifest(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    ship(spark)
     for source in (KvTable, KvLog, KvManifest):
         spark.dataSource.register(source)
