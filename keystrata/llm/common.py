@@ -5,34 +5,19 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-import zipfile
 import zlib
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
+__all__ = ["SPACE", "WORD", "connected_components", "crc_mod", "crc_mod_py", "read", "shared_dir", "ship", "stage", "unstage"]
+
 #: ASCII white space; words are the maximal runs of other characters.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Let executors import this package: Spark's own file server hands them a zip of it, once per application."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    root = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp(prefix="keystrata-")) / "keystrata_pkg.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent))
-    spark.sparkContext.addPyFile(str(target))
-    _shipped.add(app)
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share; a folder of our own only where the session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -79,16 +64,6 @@ def crc_mod_py(doc_id, n: int) -> int:
     return zlib.crc32(b"" if doc_id is None else str(int(doc_id)).encode()) % n
 
 
-def words(text: bytes) -> list[bytes]:
-    """The words of UTF-8 text: ``bytes.split`` parts at exactly the six ASCII white-space bytes."""
-    return text.split()
-
-
-def lower_ascii(text: bytes) -> bytes:
-    """Lower-case A-Z and nothing else, which is what ``bytes.lower`` does."""
-    return text.lower()
-
-
 def connected_components(edges: DataFrame, name: str = "cc", max_rounds: int = 60) -> DataFrame:
     """Component of each vertex of ``edges(u, v)`` as rows ``(u, root)``, root the smallest vertex of the component.
 

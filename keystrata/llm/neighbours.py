@@ -31,9 +31,9 @@ from .common import ship, stage
 #: Vectors that fit the centres; vectors of the sample in a leaf at most; lists at most.
 SAMPLE, LEAF, MOST_LISTS = 40_000, 128, 2048
 #: A vector goes to at most COPIES lists, those within CLOSE times its least distance.
-COPIES, CLOSE = 4, 1.10
-#: A query reads at most PROBES lists, those within RATIO times the least distance, and at least LEAST_PROBES.
-PROBES, RATIO, LEAST_PROBES = 96, 1.4, 32
+COPIES, CLOSE = 8, 1.2
+#: A query reads the lists within RATIO times the least distance: at least LEAST of all lists, and FEW, and at most MOST.
+RATIO, FEW, LEAST, MOST = 1.15, 32, 0.1, 0.2
 #: Neighbours of a centre in the graph, and the width of the walk.
 DEGREE, BEAM = 24, 128
 #: Vectors in a block of a list, and queries in a chunk.
@@ -47,7 +47,7 @@ def usable(vector: Column) -> Column:
 
 def entries(vectors: DataFrame, k: int) -> DataFrame:
     """``(gid, vector, ids)``: distinct usable vectors, their smallest id, and their ``k + 1`` smallest ids."""
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("vector"))
     rows = rows.where(F.col("vec_id").isNotNull() & usable(F.col("vector")))
     sizes = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
     if sizes is None:
@@ -158,33 +158,22 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 
 def _assign(batches: Iterator[pd.DataFrame], centres: np.ndarray, longest: float, copies: int, close: float) -> Iterator[pd.DataFrame]:
-    """Each vector with the lists it goes to; a list nearer to one already taken than to the vector adds nothing."""
+    """Each vector with the lists it goes to."""
     for batch in batches:
         for i in range(0, len(batch), 2048):
             part = batch.iloc[i : i + 2048]
             x = lift(_matrix(part["vector"]), longest)
             d = distances(x, centres)
-            many = min(4 * copies, len(centres))
+            many = min(copies, len(centres))
             near = np.argpartition(d, many - 1, axis=1)[:, :many]
             gap = np.take_along_axis(d, near, axis=1)
-            order = gap.argsort(axis=1, kind="stable")
-            near, gap = np.take_along_axis(near, order, axis=1), np.take_along_axis(gap, order, axis=1)
-            row, to = [], []
-            for r in range(len(part)):
-                taken = [near[r, 0]]
-                for c, g in zip(near[r, 1:], gap[r, 1:]):
-                    if len(taken) >= copies or g > close * gap[r, 0] + 1e-9:
-                        break
-                    if (np.sqrt(((centres[taken] - centres[c]) ** 2).sum(axis=1)) > g).all():
-                        taken.append(c)
-                row += [r] * len(taken)
-                to += taken
+            row, col = np.nonzero(gap <= close * gap.min(axis=1, keepdims=True) + 1e-9)
             out = part.iloc[row].copy()
-            out["list"] = np.array(to, dtype="int32")
+            out["list"] = near[row, col].astype("int32")
             yield out
 
 
-def _probe(batches: Iterator[pd.DataFrame], centres: np.ndarray, graph: np.ndarray, ratio: float, probes: int, least: int) -> Iterator[pd.DataFrame]:
+def _probe(batches: Iterator[pd.DataFrame], centres: np.ndarray, graph: np.ndarray, ratio: float, least: int, most: int) -> Iterator[pd.DataFrame]:
     """Each query with the lists it reads."""
     for batch in batches:
         for i in range(0, len(batch), 512):
@@ -192,8 +181,8 @@ def _probe(batches: Iterator[pd.DataFrame], centres: np.ndarray, graph: np.ndarr
             v = _matrix(part["vector"])
             # the query's own extra component is zero; its length changes no order
             x = np.concatenate([v, np.zeros((len(v), 1))], axis=1).astype(np.float32)
-            best, dist = walk(x, centres, graph, max(BEAM, probes))
-            best, dist = best[:, :probes], dist[:, :probes]
+            best, dist = walk(x, centres, graph, max(BEAM, most + most // 4))
+            best, dist = best[:, :most], dist[:, :most]
             use = (dist <= ratio * dist[:, :1] + 1e-9) | (np.arange(best.shape[1]) < least)[None, :]
             row, col = np.nonzero(use)
             out = part.iloc[row].copy()
@@ -219,7 +208,7 @@ def _score(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
     return frame.groupby("qid").head(k + 1)
 
 
-def search(vectors: DataFrame, queries: Column, k: int = 20, ratio: float = RATIO, probes: int = PROBES) -> DataFrame:
+def search(vectors: DataFrame, queries: Column, k: int = 20, ratio: float = RATIO) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each row of ``vectors(vec_id, embedding)`` where ``queries`` holds, its
     ``k`` nearest among all other rows."""
     spark = vectors.sparkSession
@@ -229,23 +218,24 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, ratio: float = RATI
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not size:
         return empty
-    longest = index.agg(F.max(F.aggregate("vector", F.lit(0.0), lambda t, x: t + x * x))).first()[0] ** 0.5
+    longest = index.agg(F.max(F.aggregate("vector", F.lit(0.0), lambda t, x: t + x.cast("double") * x))).first()[0] ** 0.5
     sample = index.select("gid", "vector").orderBy(F.xxhash64("gid"), "gid").limit(SAMPLE).toPandas()
     x = lift(_matrix(sample["vector"]), longest)
     leaf = max(LEAF, -(-2 * len(x) // MOST_LISTS))
     centres = fit_centres(x, leaf)
     graph = neighbour_graph(centres)
+    rows = f"gid long, vector {dict(index.dtypes)['vector']}, list int"
 
     posted = index.select("gid", "vector").mapInPandas(
-        functools.partial(_assign, centres=centres, longest=longest, copies=COPIES, close=CLOSE), "gid long, vector array<double>, list int"
+        functools.partial(_assign, centres=centres, longest=longest, copies=COPIES, close=CLOSE), rows
     )
     posted = stage(posted, "posted")
-    asked = vectors.where(queries).select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("vector"))
+    asked = vectors.where(queries).select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").alias("vector"))
     asked = asked.where(usable(F.col("vector"))).distinct().join(index.select("gid", "vector"), "vector").select("query_id", F.col("gid").alias("qid"))
     asked = stage(asked, "asked")
     wanted = index.join(asked.select(F.col("qid").alias("gid")).distinct(), "gid", "left_semi").select("gid", "vector")
     probed = wanted.mapInPandas(
-        functools.partial(_probe, centres=centres, graph=graph, ratio=ratio, probes=probes, least=LEAST_PROBES), "gid long, vector array<double>, list int"
+        functools.partial(_probe, centres=centres, graph=graph, ratio=ratio, least=max(FEW, round(LEAST * len(centres))), most=max(2 * FEW, round(MOST * len(centres)))), rows
     )
     probed = stage(probed, "probed")
 
