@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from .common import crc_mod, ship, stage
 
 #: Feature columns, labelled texts of each class, smoothing of counts, bound of the dual variables, passes.
@@ -186,10 +187,13 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     """Fit on ``docs(doc_id, text)`` and ``labels(doc_id, label)``; the ids drawn are few enough to broadcast."""
     ship(docs.sparkSession)
     known = labels.where("doc_id is not null and label in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("label").cast("int").alias("label"))
-    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     known = stage(known, "labels")
-    # the first of each class by hashed id: Spark keeps so many in every task before they meet
-    one, zero = (known.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (1, 0))
+    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    # the first of each class by hashed id
+    one, zero = (
+        known.where((F.col("label") == c) & common.drawn(F.col("doc_id"), per_class, counts.get(c, 0))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+        for c in (1, 0)
+    )
     drawn = one.unionByName(zero)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(drawn), "doc_id")
     rows = texts.mapInPandas(_feature_rows, "doc_id long, label int, columns array<int>").toPandas()

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 
-__all__ = ["SPACE", "WORD", "connected_components", "crc_mod", "crc_mod_py", "read", "shared_dir", "ship", "stage", "unstage"]
+__all__ = ["SPACE", "WORD", "connected_components", "crc_mod", "crc_mod_py", "drawn", "read", "shared_dir", "ship", "stage", "unstage"]
 
 #: ASCII white space; words are the maximal runs of other characters.
 SPACE = r"\x20\x09-\x0D"
@@ -64,6 +64,16 @@ def crc_mod_py(doc_id, n: int) -> int:
     return zlib.crc32(b"" if doc_id is None else str(int(doc_id)).encode()) % n
 
 
+def drawn(column: Column, wanted: int, rows: int) -> Column:
+    """True for about three times ``wanted`` of ``rows`` rows, or all if there are few, by a hash of ``column``.
+
+    A draw that is filtered like this before it is sorted brings a bounded number of rows together, however many
+    tasks there are. The same rows are drawn every time."""
+    if rows <= 4 * wanted:
+        return F.lit(True)
+    return F.pmod(F.xxhash64(column), F.lit(1 << 40)) < F.lit(-(-3 * wanted * (1 << 40) // rows))
+
+
 def connected_components(edges: DataFrame, name: str = "cc", max_rounds: int = 60) -> DataFrame:
     """Component of each vertex of ``edges(u, v)`` as rows ``(u, root)``, root the smallest vertex of the component.
 

@@ -23,6 +23,7 @@ import zstandard as zstd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import common
 from .common import crc_mod, ship
 
 #: Bytes of a dictionary, training texts drawn for it and the longest of these in characters, and languages at most.
@@ -110,12 +111,15 @@ def _predict(batches: Iterator[pd.DataFrame], langs: list[str], content: tuple[b
         yield out
 
 
-def fit(docs: DataFrame, drawn: int = DRAWN) -> Model:
+def fit(docs: DataFrame, draw: int = DRAWN) -> Model:
     """Dictionaries from ``docs(doc_id, text, lang)``; a bounded draw of whole texts for each language, by hashed id."""
     rows = docs.where("text is not null and lang is not null").select("doc_id", "text", "lang")
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    some = rows.where((F.length("text") <= LONGEST) & F.col("lang").isin(list(counts))).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= drawn)
+    wanted = F.lit(False)
+    for lang, n in counts.items():
+        wanted = wanted | ((F.col("lang") == lang) & common.drawn(F.col("doc_id"), draw, n))
+    some = rows.where(wanted & (F.length("text") <= LONGEST)).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= draw)
     texts: dict[str, tuple[int, list[str]]] = {lang: (n, []) for lang, n in counts.items()}
     for r in some.orderBy("lang", "nth").select("lang", "text").toLocalIterator():
         texts[r["lang"]][1].append(r["text"])

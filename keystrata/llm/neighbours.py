@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship, stage
+from .common import drawn, ship, stage
 
 #: Vectors that fit the centres; vectors of the sample in a leaf at most; lists at most.
 SAMPLE, LEAF, MOST_LISTS = 40_000, 128, 2048
@@ -219,7 +219,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, ratio: float = RATI
     if not size:
         return empty
     longest = index.agg(F.max(F.aggregate("vector", F.lit(0.0), lambda t, x: t + x.cast("double") * x))).first()[0] ** 0.5
-    sample = index.select("gid", "vector").orderBy(F.xxhash64("gid"), "gid").limit(SAMPLE).toPandas()
+    sample = index.select("gid", "vector").where(drawn(F.col("gid"), SAMPLE, size)).orderBy(F.xxhash64("gid"), "gid").limit(SAMPLE).toPandas()
     x = lift(_matrix(sample["vector"]), longest)
     leaf = max(LEAF, -(-2 * len(x) // MOST_LISTS))
     centres = fit_centres(x, leaf)

@@ -43,7 +43,7 @@ RULES = (
     Rule("mean_word", "mean_word_chars", least=2, most=16),
     Rule("symbols", "symbol_ratio", most=0.1),
     Rule("shouting", "exclaim_ratio", most=0.3),
-    Rule("dup_lines", "dup_line_ratio", most=0.3),
+    Rule("dup_lines", "dup_line_ratio", most=0.5),
     Rule("stop_words", "stop_word_ratio", least=0.01),
 )
 
@@ -180,7 +180,7 @@ r AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 f AS (SELECT *, list_filter([
     CASE WHEN n_words < 50 THEN 'words' END, CASE WHEN n_repeat_words / n > 0.5 THEN 'repeats' END,
     CASE WHEN word_chars / n < 2 OR word_chars / n > 16 THEN 'mean_word' END, CASE WHEN n_symbols / n > 0.1 THEN 'symbols' END,
-    CASE WHEN n_exclaims / n > 0.3 THEN 'shouting' END, CASE WHEN n_dup_lines / greatest(n_lines, 1) > 0.3 THEN 'dup_lines' END,
+    CASE WHEN n_exclaims / n > 0.3 THEN 'shouting' END, CASE WHEN n_dup_lines / greatest(n_lines, 1) > 0.5 THEN 'dup_lines' END,
     CASE WHEN n_stop_words / n < 0.01 THEN 'stop_words' END], lambda x: x IS NOT NULL) AS failed_rules FROM r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND len(failed_rules) = 0 AS kept, array_to_string(failed_rules, ',') AS failed_rules FROM f

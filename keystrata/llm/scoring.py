@@ -12,12 +12,12 @@ which all counts follow. Sequences are dealt into blocks by the last two bytes o
 bounded, so its counts can be sent to every task; the sums that the two top depths need from all blocks are at most
 one row for each of their nodes. A text's score is the sum of its blocks' parts.
 
-The base model is a word unigram. Frequent words, up to a fixed number, are looked up in each task; the others are
+The base model is a word unigram. Frequent words, at most a fixed number, are looked up in each task; the others are
 joined as rows.
 
 Cases: a null text counts as empty and is scored for its end; a null doc_id has the checksum of an empty text and is
-scored like any other; repeated rows train and score as often as they stand; very long texts are scored whole; ties
-among frequent words go by the word; an empty table gives no rows; other columns are ignored.
+scored like any other; repeated rows train and score as often as they stand; very long texts are scored whole; words
+of equal count are all frequent or none of them is; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -361,11 +361,25 @@ def fit(docs: DataFrame, depth: int = DEPTH, block: int = BLOCK, head: int = HEA
     for i in range(number + 1):
         own = dealt.where(F.col("block") == i).select("code", "n").toPandas().sort_values("code")
         blocks.append(sc.broadcast((own["code"].to_numpy("int64").view(np.uint64), own["n"].to_numpy("int64"), upper)))
-    frequent = counts.orderBy(F.desc("n"), "word").limit(head).toPandas()
+    least = _head_count(counts, head)
+    frequent = counts.where(F.col("n") >= least).toPandas()
     known = {bytes(w): int(n) for w, n in zip(frequent["word"], frequent["n"])}
     return Model(depth, blocks, member, sc.broadcast((known, int(ends))), (int(tokens) + int(ends), int(distinct) + (ends > 0)), counts)
 
 
+def _head_count(counts: DataFrame, head: int) -> int:
+    """The least count for which at most ``head`` words have it or more, from a histogram of a few hundred steps."""
+    step = F.floor(F.log2(F.col("n").cast("double")) * 16)
+    rows = counts.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("least")).orderBy(F.desc("s")).collect()
+    total, least = 0, 1 << 62
+    for r in rows:
+        total += r["words"]
+        if total > head:
+            break
+        least = r["least"]
+    return least
+
+
 def _base_of(n: int, tokens: int, distinct: int) -> float:
     return math.log10((n + 0.5) / (tokens + 0.5 * (distinct + 1)))
 
