@@ -26,7 +26,7 @@ def ingest(ops: DataFrame, store: Store, checkpoint: str, stream: str = "ingest"
         gone = (F.col("op") == "del") | F.col("value").isNull() | (F.length("value") == 0)
         if batch_id <= store.streamed.get(stream, -1):
             return
-        store.bulk_write(last.select("key", gone.alias("is_delete"), F.when(~gone, F.col("value")).alias("value")), {"stream": stream, "batch": batch_id})
+        store.bulk_write(last.select("key", gone.alias("is_delete"), F.when(~gone, F.col("value")).alias("value")), {"streamed": {stream: batch_id}})
         store.streamed[stream] = batch_id
 
     return ops.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
