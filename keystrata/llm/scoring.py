@@ -409,22 +409,22 @@ def _first_block(batches: Iterator[pd.DataFrame], model_parts: tuple) -> Iterato
                     else:
                         n_known += n
                         base += n * v
-                rows.append((number, doc_id, held_out, total, n_known, base, float(score)))
-            out = pd.DataFrame(rows, columns=["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+                rows.append((number, doc_id, held_out, len(text) + 1, total, n_known, base, float(score)))
+            out = pd.DataFrame(rows, columns=["row", "doc_id", "held_out", "n_bytes", "n_tokens", "n_known", "base_score", "score"])
             out["word"], out["n"] = None, 0
             yield _typed(out)
             if rare_row:
                 rare = pd.DataFrame({"row": rare_row, "word": rare_word, "n": rare_n})
-                yield _typed(rare.assign(doc_id=None, held_out=None, n_tokens=0, n_known=0, base_score=0.0, score=0.0))
+                yield _typed(rare.assign(doc_id=None, held_out=None, n_bytes=0, n_tokens=0, n_known=0, base_score=0.0, score=0.0))
 
 
-_ROWS = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, word binary, n long"
+_ROWS = "row long, doc_id long, held_out boolean, n_bytes long, n_tokens long, n_known long, base_score double, score double, word binary, n long"
 
 
 def _typed(frame: pd.DataFrame) -> pd.DataFrame:
     frame["doc_id"] = frame["doc_id"].astype("Int64")
     frame["held_out"] = frame["held_out"].astype("boolean")
-    return frame[["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "word", "n"]]
+    return frame[["row", "doc_id", "held_out", "n_bytes", "n_tokens", "n_known", "base_score", "score", "word", "n"]]
 
 
 def _block_scores(tree: Tree, texts: list[bytes], depth: int, member: np.ndarray | None, number: int) -> np.ndarray:
@@ -473,7 +473,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             later = own if later is None else later.unionByName(own)
         later = stage(later, "later").groupBy("row").agg(F.sum("more").alias("more"))
         out = out.join(later, "row").withColumn("score", F.col("score") + F.col("more"))
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    bits = (F.col("score") / F.lit(-math.log10(2)) / F.col("n_bytes")).alias("bits_per_byte")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", bits)
 
 
 def judge(docs: DataFrame, depth: int = DEPTH, block: int = BLOCK, head: int = HEAD) -> DataFrame:

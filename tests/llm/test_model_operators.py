@@ -255,6 +255,7 @@ def test_scores(spark, block, head):
         same = got[got["doc_id"].isna()] if i is None else got[got["doc_id"] == i]
         assert len(same) and np.isclose(same["base_score"], base).all() and np.isclose(same["score"], want, rtol=1e-5).all(), i
         assert (same["n_tokens"] == len(words)).all() and (same["n_known"] == sum(counts[w] > 0 for w in words)).all()
+        assert np.isclose(same["bits_per_byte"], -want / math.log10(2) / (len(raw) + 1), rtol=1e-5).all()
         assert (same["train_tokens"] == n).all() and (same["held_out"] == (crc_mod_py(i, 5) == 1)).all()
 
 
