@@ -7,8 +7,8 @@ joins neighbouring tokens to the merge table and contracts each word's leftmost
 a pair left. Decoding joins token positions to the vocabulary and aggregates the bytes in order. Words are remembered
 between batches up to a fixed number, which changes no result.
 
-Cases: a null text counts as empty; an empty text has no tokens, and its digests are those of the empty string; very
-long words take one step for each contraction, on few rows; repeated documents get one row each; an empty table gives
+Cases: a null text counts as empty; an empty text has no tokens, and its digests are those of the empty string; in
+very long words a step contracts all pairs of the least rank; repeated documents get one row each; an empty table gives
 no rows; other columns are ignored, whatever their names.
 """
 
@@ -54,6 +54,36 @@ WITH RECURSIVE step(word, toks) USING KEY (word) AS (
 SELECT word, toks FROM step
 """.format(places=1 << 31)
 
+# Long words: a step contracts every pair of the least rank, from the left and without overlap. That is what single
+# contractions come to unless the token made can go into a pair of lower rank still; then only the leftmost is contracted.
+ENCODE_LONG = """
+WITH RECURSIVE step(word, toks) USING KEY (word) AS (
+    SELECT word, toks FROM fresh
+  UNION
+    SELECT word, list(tok ORDER BY place)
+    FROM (
+        SELECT word, place, CASE WHEN taken THEN least ELSE tok END AS tok, coalesce(lag(taken) OVER (PARTITION BY word ORDER BY place), false) AS gone
+        FROM (
+            SELECT word, place, tok, least,
+                   hit AND CASE WHEN least IN (SELECT token FROM alone) THEN nth = 1
+                                ELSE row_number() OVER (PARTITION BY word, hit, place - nth ORDER BY place) % 2 = 1 END AS taken
+            FROM (
+                SELECT *, row_number() OVER (PARTITION BY word, hit ORDER BY place) AS nth
+                FROM (
+                    SELECT p.word, p.place, p.tok, min(m.made) OVER (PARTITION BY p.word) AS least, coalesce(m.made = min(m.made) OVER (PARTITION BY p.word), false) AS hit
+                    FROM (SELECT word, unnest(range(1, len(toks) + 1)) AS place, unnest(toks) AS tok, unnest(list_append(toks[2:], -1)) AS following FROM step) AS p
+                    LEFT JOIN merges AS m ON m.a = p.tok AND m.b = p.following
+                )
+            )
+            WHERE least IS NOT NULL
+        )
+    )
+    WHERE NOT gone
+    GROUP BY word
+)
+SELECT word, toks FROM step
+"""
+
 DECODE = """
 SELECT t.word, string_agg(v.hex, '' ORDER BY t.place) AS hex
 FROM (SELECT word, unnest(toks) AS tok, unnest(range(1, len(toks) + 1)) AS place FROM coded) AS t
@@ -88,7 +118,8 @@ class Codec:
         rows = merge_rows(self.ranks)
         merges = pa.table({n: pa.array([r[i] for r in rows], pa.int32()) for i, n in enumerate(("a", "b", "made"))})
         vocabulary = pa.table({"token": pa.array(list(self.ranks.values()), pa.int32()), "hex": [k.hex() for k in self.ranks]})
-        for name, table in (("merges", merges), ("vocabulary", vocabulary)):
+        alone = pa.table({"token": pa.array(sorted({part for *parts, made in rows for part in parts if made < part}), pa.int32())})
+        for name, table in (("merges", merges), ("vocabulary", vocabulary), ("alone", alone)):
             self.db.register("given", table)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
         #: word -> (ids in decimal joined by commas, bytes decoded from the ids)
@@ -98,13 +129,15 @@ class Codec:
         """Token ids of each word; a word that is a token is that token."""
         out = [[self.ranks[w]] if w in self.ranks else None for w in found]
         todo = [i for i, ids in enumerate(out) if ids is None]
-        for k in range(0, len(todo), AT_ONCE):
-            part = todo[k : k + AT_ONCE]
+        todo.sort(key=lambda i: len(found[i]) > LONGEST)
+        short = sum(len(found[i]) <= LONGEST for i in todo)
+        for k in [*range(0, short, AT_ONCE), *range(short, len(todo), AT_ONCE)]:
+            part = todo[k : min(k + AT_ONCE, short)] if k < short else todo[k : k + AT_ONCE]
             offsets = np.cumsum([0, *[len(found[i]) for i in part]], dtype=np.int32)
             tokens = self.byte_token[np.frombuffer(b"".join([found[i] for i in part]), dtype=np.uint8)]
             start = pa.table({"word": pa.array(part, pa.int32()), "toks": pa.ListArray.from_arrays(offsets, tokens)})
             self.db.register("fresh", start)
-            coded = self.db.sql(ENCODE).to_arrow_table()
+            coded = self.db.sql(ENCODE if k < short else ENCODE_LONG).to_arrow_table()
             for word, toks in zip(coded["word"].to_pylist(), coded["toks"].to_pylist()):
                 out[word] = toks
         return out

@@ -84,8 +84,10 @@ def test_bpe_encode_and_decode(spark, reference):
 
 def test_bpe_long_word(reference):
     codec = bpe.Codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    word = b"abcde" * 120
-    assert codec.encode_words([word, b" the"]) == [reference._encode_single_piece(word), reference.encode_ordinary(" the")]
+    rng = np.random.default_rng(8)
+    words = [b"abcde" * 120, b" the", b"a" * 20_000, b"the" * 500]
+    words += [bytes(rng.choice(list(alphabet), n).tolist()) for alphabet in (b"ab", b"aeinrst", bytes(range(97, 123)), bytes(range(128, 256))) for n in (60, 300, 1500)]
+    assert codec.encode_words(words) == [[codec.ranks[w]] if w in codec.ranks else reference._encode_single_piece(w) for w in words]
     codec.lookup({" the", "x" * 100})
     assert list(codec.words) == [" the"]
 
