@@ -173,13 +173,14 @@ def _assign(batches: Iterator[pd.DataFrame], centres: np.ndarray, longest: float
             yield out
 
 
-def _probe(batches: Iterator[pd.DataFrame], centres: np.ndarray, graph: np.ndarray, ratio: float, least: int, most: int) -> Iterator[pd.DataFrame]:
+def _probe(batches: Iterator[pd.DataFrame], centres: np.ndarray, graph: np.ndarray, longest: float, ratio: float, least: int, most: int) -> Iterator[pd.DataFrame]:
     """Each query with the lists it reads."""
     for batch in batches:
         for i in range(0, len(batch), 512):
             part = batch.iloc[i : i + 512]
             v = _matrix(part["vector"])
-            # the query's own extra component is zero; its length changes no order
+            # a query's length changes no order: it is made that of the lifted vectors, and the component added is zero
+            v *= longest / np.sqrt((v**2).sum(axis=1, keepdims=True))
             x = np.concatenate([v, np.zeros((len(v), 1))], axis=1).astype(np.float32)
             best, dist = walk(x, centres, graph, max(BEAM, most + most // 4))
             best, dist = best[:, :most], dist[:, :most]
@@ -235,7 +236,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, ratio: float = RATI
     asked = stage(asked, "asked")
     wanted = index.join(asked.select(F.col("qid").alias("gid")).distinct(), "gid", "left_semi").select("gid", "vector")
     probed = wanted.mapInPandas(
-        functools.partial(_probe, centres=centres, graph=graph, ratio=ratio, least=max(FEW, round(LEAST * len(centres))), most=max(2 * FEW, round(MOST * len(centres)))), rows
+        functools.partial(_probe, centres=centres, graph=graph, longest=longest, ratio=ratio, least=max(FEW, round(LEAST * len(centres))), most=max(2 * FEW, round(MOST * len(centres)))), rows
     )
     probed = stage(probed, "probed")
 
