@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 
-__all__ = ["SPACE", "WORD", "connected_components", "crc_mod", "crc_mod_py", "drawn", "read", "shared_dir", "ship", "stage", "unstage"]
+__all__ = ["SPACE", "WORD", "connected_components", "crc_mod", "crc_mod_py", "drawn", "read", "sent_if_small", "shared_dir", "ship", "stage", "unstage"]
 
 #: ASCII white space; words are the maximal runs of other characters.
 SPACE = r"\x20\x09-\x0D"
@@ -64,6 +64,18 @@ def crc_mod_py(doc_id, n: int) -> int:
     return zlib.crc32(b"" if doc_id is None else str(int(doc_id)).encode()) % n
 
 
+#: Bytes of a table that may be sent to every task.
+BROADCAST_BYTES = 16 << 20
+
+
+def sent_if_small(df: DataFrame, row_bytes: Column | int) -> DataFrame:
+    """``df`` marked for a broadcast join if its rows are measured to be small together; else Spark joins by shuffles.
+
+    ``df`` should be staged: it is read to be measured."""
+    size = df.agg(F.coalesce(F.sum(F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
 def drawn(column: Column, wanted: int, rows: int) -> Column:
     """True for about three times ``wanted`` of ``rows`` rows, or all if there are few, by a hash of ``column``.
 

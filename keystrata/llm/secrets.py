@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import sent_if_small, stage
 from .quality_rules import let
 
 
@@ -155,6 +155,7 @@ def redact(docs: DataFrame, marker: str = "[SECRET]", rules: tuple[Rule, ...] =
     key = "__blob"
     fresh = stage(update_ledger(docs, None, rules).where(F.size("spans") > 0), "ledger")
     hits = fresh.select(F.col("blob").alias(key), F.col("spans").alias("__spans"))
+    hits = sent_if_small(hits, 100 + 32 * F.size("__spans"))
     joined = docs.withColumn(key, blob_of(F.col("text"))).join(hits, key, "left")
     state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 

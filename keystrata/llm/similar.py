@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, ship, stage
+from .common import connected_components, sent_if_small, ship, stage
 from .simhash import RADIUS, fingerprint_of, links
 from .substrings import BASES, NO_ID, least_of_runs, mix, rolling, word_hashes
 
@@ -98,7 +98,7 @@ def similar_links(docs: DataFrame, speakers: DataFrame, pairs: DataFrame, width:
     pairs = stage(pairs.distinct(), "candidates")
     wanted = pairs.select(F.col("u").alias("print")).unionByName(pairs.select(F.col("v").alias("print"))).distinct()
     ids = speakers.join(wanted, "print", "left_semi").select(F.col("doc_id").alias("__id"), F.col("k").alias("__k"), "print")
-    ids = stage(ids, "speakers")
+    ids = sent_if_small(stage(ids, "asked"), 32)
     texts = _keyed(docs)
     texts = texts.join(ids, _same_row(texts, ids)).select("print", "text")
     sets = stage(texts.mapInPandas(functools.partial(_sets, width=width), "print long, shingles array<long>").dropDuplicates(["print"]), "sets")
@@ -121,8 +121,12 @@ def one_of_each(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILAR
     pairs = links(first, radius).unionByName(candidates(speakers))
     roots = connected_components(similar_links(docs, speakers, pairs, width, similarity), "similar")
     best = first.join(roots, F.col("print") == F.col("u"), "left").groupBy(F.coalesce("root", "print").alias("root")).agg(F.min("best").alias("best"))
-    keep = stage(best.select(F.col("best.doc_id").alias("__id"), F.col("best.k").alias("__k")), "keep")
-    kept = docs.join(keep, _same_row(docs, keep), "left_semi")
+    keep = best.select(F.col("best.doc_id").alias("__id"), F.col("best.k").alias("__k"))
+    # the rows that go are fewer than those that stay
+    row = survey.select(F.col("doc_id").alias("i"), F.col("k").alias("j")).distinct()
+    gone = row.join(keep, F.col("i").eqNullSafe(F.col("__id")) & (F.col("j") == F.col("__k")), "left_anti")
+    gone = sent_if_small(stage(gone.select(F.col("i").alias("__id"), F.col("j").alias("__k")), "gone"), 32)
+    kept = docs.join(gone, _same_row(docs, gone), "left_anti")
     again = survey.groupBy("doc_id", "k").count().where("count > 1")
     if again.isEmpty():
         return kept

@@ -28,17 +28,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, stage
+from .common import sent_if_small, ship, stage
+from .quality_rules import let
 
 #: Words in a window, and words in the shorter sequences that find the windows worth naming.
 WIDTH, ANCHOR = 50, 16
 #: Odd multipliers of the polynomials.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: Words whose hashes a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 #: doc_id of rows without one, larger than every other.
 NO_ID = (1 << 63) - 1
 
@@ -145,28 +146,24 @@ def _windows(batches: Iterator[pd.DataFrame], width: int, anchor: int) -> Iterat
                 yield pd.DataFrame({"h1": h1[part], "h2": h2[part], "doc_id": np.int64(doc_id), "k": np.int64(k), "at": part.astype("int32")})
 
 
-def intervals(starts: list[int], width: int) -> list[tuple[int, int]]:
-    """Maximal intervals [start, end) of words that windows at ``starts`` cover."""
-    out: list[tuple[int, int]] = []
-    for s in sorted(starts):
-        if out and s <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], s + width))
-        else:
-            out.append((s, s + width))
-    return out
-
-
 def _keyed(docs: DataFrame) -> DataFrame:
     """Rows with a key: the id, NO_ID where there is none, and a hash of the text."""
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("k"), "text")
 
 
-def repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) -> tuple[DataFrame, DataFrame, DataFrame]:
+def merged(starts: Column, width: int) -> Column:
+    """Maximal intervals of words, as pairs of first word and end, that windows at these sorted starts cover."""
+    first = F.filter(starts, lambda x, i: F.coalesce(x > F.get(starts, i - 1) + width, F.lit(True)))
+    last = F.filter(starts, lambda x, i: F.coalesce(F.get(starts, i + 1) > x + width, F.lit(True)))
+    return F.zip_with(first, last, lambda a, b: F.array(a, b + width))
+
+
+def repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """What each row has, ``(doc_id, k, n_words, kept_sha256)``; the rows of which every window goes, ``(doc_id, k)``;
-    and the rows of which some go, with their text and the windows' ``starts``.
+    the texts that share anchors, ``(doc_id, k, text)``; and the intervals of words that go of some, ``(doc_id, k, cuts)``.
 
-    Texts are read twice and shuffled once, to meet their shared anchors; all else that moves are digests, anchors
-    and the windows worth naming."""
+    Texts are read twice; they are shuffled to meet their shared anchors only if these are too many to send to every
+    task. All else that moves are digests, anchors and the windows worth naming."""
     ship(docs.sparkSession)
     rows = _keyed(docs)
     survey = rows.mapInPandas(
@@ -184,23 +181,23 @@ def repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) -> tuple[
     shared = anchors.groupBy("a").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
     shared = stage(shared.select("a"), "shared")
     wanted = stage(anchors.join(shared, "a").groupBy("doc_id", "k").agg(F.collect_set("a").alias("shared")), "wanted")
-    candidates = stage(rows.join(wanted, ["doc_id", "k"]), "candidates")
+    candidates = stage(rows.join(sent_if_small(wanted, 32 + 8 * F.size("shared")), ["doc_id", "k"]), "candidates")
     windows = candidates.mapInPandas(functools.partial(_windows, width=width, anchor=anchor), "h1 long, h2 long, doc_id long, k long, at int")
     windows = stage(windows, "windows")
     least = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
     least = stage(least.select("h1", "h2", "lo"), "least")
-    gone = windows.join(least, ["h1", "h2"]).where("doc_id > lo").groupBy("doc_id", "k").agg(F.collect_set("at").alias("starts"))
-    gone = candidates.select("doc_id", "k", "text").join(stage(gone, "gone"), ["doc_id", "k"])
-    return survey.select("doc_id", "k", "n_words", "kept_sha256"), copies, gone
+    gone = windows.join(least, ["h1", "h2"]).where("doc_id > lo").groupBy("doc_id", "k").agg(F.sort_array(F.collect_set("at")).alias("starts"))
+    gone = stage(gone.select("doc_id", "k", let(F.col("starts"), lambda s: merged(s, width)).alias("cuts")), "gone")
+    return survey.select("doc_id", "k", "n_words", "kept_sha256"), copies, candidates.select("doc_id", "k", "text"), gone
 
 
-def _kept(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
+def _kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
-        for doc_id, k, text, starts in zip(batch["doc_id"], batch["k"], batch["text"], batch["starts"]):
+        for doc_id, k, text, cuts in zip(batch["doc_id"], batch["k"], batch["text"], batch["cuts"]):
             parts = encoded(text).split()
             keep, at = [], 0
-            for a, b in intervals(list(starts), width):
+            for a, b in cuts:
                 keep += parts[at:a]
                 at = b
             keep += parts[at:]
@@ -210,8 +207,9 @@ def _kept(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]
 
 def digest(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) -> DataFrame:
     """Word counts and a digest of the kept words of each row of ``docs(doc_id, text)``."""
-    survey, copies, gone = repeats(docs, width, anchor)
-    lost = gone.mapInPandas(functools.partial(_kept, width=width), "doc_id long, k long, n_removed long, sha string").distinct()
+    survey, copies, texts, gone = repeats(docs, width, anchor)
+    cut = texts.join(sent_if_small(gone, 32 + 32 * F.size("cuts")), ["doc_id", "k"])
+    lost = cut.mapInPandas(_kept, "doc_id long, k long, n_removed long, sha string").distinct()
     lost = lost.unionByName(copies.select("doc_id", "k", F.lit(None).cast("long").alias("n_removed"), F.sha2(F.lit("").cast("binary"), 256).alias("sha")))
     return survey.join(stage(lost, "lost"), ["doc_id", "k"], "left").select(
         F.when(F.col("doc_id") < NO_ID, F.col("doc_id")).alias("doc_id"),
@@ -240,30 +238,30 @@ def cut_text(text: str, covered: list[tuple[int, int]]) -> str:
     return "".join(out)
 
 
-def _remove(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         place = batch.schema.get_field_index("text")
         texts = []
-        for text, whole, starts in zip(*(batch.column(c).to_pylist() for c in ("text", "__whole", "__starts"))):
+        for text, whole, cuts in zip(*(batch.column(c).to_pylist() for c in ("text", "__whole", "__cuts"))):
             if text is not None and whole:
                 text = cut_text(text, [(0, len(encoded(text).split()))])
-            elif text is not None and starts is not None:
-                text = cut_text(text, intervals(starts, width))
+            elif text is not None and cuts is not None:
+                text = cut_text(text, cuts)
             texts.append(text)
         out = batch.set_column(place, batch.schema.field(place), pa.array(texts, batch.schema.field(place).type))
-        yield out.drop_columns(["__whole", "__starts"])
+        yield out.drop_columns(["__whole", "__cuts"])
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) -> DataFrame:
     """``docs`` with the repeated words cut out of ``text``; all columns stay."""
-    _, copies, gone = repeats(docs, width, anchor)
-    none = F.lit(None).cast("array<int>")
-    marks = gone.select("doc_id", "k", F.lit(False).alias("__whole"), F.col("starts").alias("__starts")).distinct()
-    marks = marks.unionByName(copies.select("doc_id", "k", F.lit(True).alias("__whole"), none.alias("__starts")))
-    marks = stage(marks.withColumnsRenamed({"doc_id": "__id", "k": "__k"}), "marks")
+    _, copies, _, gone = repeats(docs, width, anchor)
+    none = F.lit(None).cast("array<array<int>>")
+    marks = gone.select("doc_id", "k", F.lit(False).alias("__whole"), F.col("cuts").alias("__cuts"))
+    marks = marks.unionByName(copies.select("doc_id", "k", F.lit(True).alias("__whole"), none.alias("__cuts")))
+    marks = sent_if_small(stage(marks.withColumnsRenamed({"doc_id": "__id", "k": "__k"}), "marks"), 32 + 32 * F.coalesce(F.size("__cuts"), F.lit(0)))
     match = (F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == marks["__id"]) & (F.xxhash64(docs["text"]) == marks["__k"])
     marked = docs.join(marks, match, "left").drop("__id", "__k")
-    return marked.mapInArrow(functools.partial(_remove, width=width), docs.schema)
+    return marked.mapInArrow(_remove, docs.schema)
 
 
 #: ``digest`` in DuckDB: windows as strings, counted by a window function.

@@ -11,6 +11,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 from fixtures import docs, empty, multiset, texts
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from keystrata.llm import bpe, packing, quality_rules, queries, secrets, substrings
@@ -247,7 +248,8 @@ def test_substrings_cut_text(spark):
     kept = {r["doc_id"]: r["text"] for r in out.collect()}
     assert kept[1] == texts()[0][1] and kept[16] == texts()[-1][1] and kept[5] is None and not kept[2].strip()
     assert substrings.cut_text(" a  b\nc d ", [(1, 3)]) == " a  d "
-    assert substrings.intervals([5, 0, 3], 3) == [(0, 8)] and substrings.intervals([0, 4], 3) == [(0, 3), (4, 7)]
+    starts = spark.createDataFrame([([0, 3, 5],), ([0, 4],), ([7],), ([],)], "s array<int>")
+    assert [r[0] for r in starts.select(substrings.merged(F.col("s"), 3)).collect()] == [[[0, 8]], [[0, 3], [4, 7]], [[7, 10]], []]
 
 
 def test_rolling_hashes():
