@@ -186,6 +186,7 @@ def _slices(texts: list[str]) -> Iterator[slice]:
 
 def _digest(batches: Iterator[pd.DataFrame], path: str, pattern: str) -> Iterator[pd.DataFrame]:
     codec = _codec(path, pattern)
+    common.only(codec.words)
     for batch in batches:
         texts = ["" if t is None else t for t in batch["text"]]
         for at in _slices(texts):

@@ -34,7 +34,7 @@ COLUMNS, PER_CLASS, SMOOTH, BOUND, PASSES = 1 << 18, 4000, 1.0, 1.0, 12
 #: Share of the drawn texts that fits the logistic curve.
 CALIBRATE = 0.2
 #: Words that a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 THRESHOLD = 0.3
 
 
@@ -170,6 +170,7 @@ def fit_rows(rows: list[np.ndarray], labels: np.ndarray, share: float | None = N
 
 
 def _feature_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    common.only(_words)
     for batch in batches:
         out = batch.drop(columns="text")
         out["columns"] = [features(t) for t in batch["text"]]
@@ -177,6 +178,7 @@ def _feature_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _score(batches: Iterator[pd.DataFrame], model: Model) -> Iterator[pd.DataFrame]:
+    common.only(_words)
     for batch in batches:
         out = batch.drop(columns="text")
         out["score"] = [model.score(features(t)) for t in batch["text"]]
@@ -213,6 +215,7 @@ def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
 
 
 def _keep(batches: Iterator[pa.RecordBatch], model: Model, threshold: float) -> Iterator[pa.RecordBatch]:
+    common.only(_words)
     for batch in batches:
         good = [model.score(features(t)) >= threshold for t in batch.column("text").to_pylist()]
         yield batch.filter(pa.array(good, pa.bool_()))

@@ -10,14 +10,46 @@ import zlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shipping import ship
+from .. import shipping
 
-__all__ = ["SPACE", "WORD", "connected_components", "crc_mod", "crc_mod_py", "drawn", "read", "sent_if_small", "shared_dir", "ship", "stage", "unstage"]
+__all__ = ["SPACE", "WORD", "connected_components", "crc_mod", "crc_mod_py", "drawn", "only", "read", "sent_if_small", "shared_dir", "ship", "stage", "unstage"]
 
 #: ASCII white space; words are the maximal runs of other characters.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 
+#: Rows and bytes of a batch that a Python worker gets at once.
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+
+_caches: list[dict] = []
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in tasks, and the batches that Python workers get small."""
+    shipping.ship(spark)
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key, None)
+        if now is None or not 0 < _bytes(now) <= most:
+            spark.conf.set(key, str(most))
+
+
+def _bytes(value: str) -> int:
+    """A number with an optional unit, as Spark writes sizes."""
+    number = value.rstrip("bBkKmMgG")
+    return int(number) << {"k": 10, "m": 20, "g": 30}.get(value[len(number) : len(number) + 1].lower(), 0)
+
+
+def only(cache: dict) -> dict:
+    """``cache``, with what other operators remembered in this worker forgotten: one memory at a time."""
+    for other in _caches:
+        if other is not cache:
+            other.clear()
+    if not any(c is cache for c in _caches):
+        _caches.append(cache)
+    return cache
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share; a folder of our own only where the session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None)

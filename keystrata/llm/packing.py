@@ -34,7 +34,7 @@ END_ID = 2
 #: A window's number is its partition, shifted by so many bits, plus its number there.
 PARTITION_SHIFT = 36
 #: Word pieces that a Python worker remembers; the memory is emptied when full, which changes no result.
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 #: ASCII marks that may follow a word; the apostrophe, which begins contractions, is not among them.
 MARKS = b".,;:!?*$%&#|()[]{}\"-"
 
@@ -113,7 +113,7 @@ class Packer:
 
 
 def _pack_partition(batches: Iterator[pd.DataFrame], path: str, capacity: int, open_windows: int) -> Iterator[pd.DataFrame]:
-    cache, packer, held = _word_ids(path), Packer(capacity, open_windows), []
+    cache, packer, held = common.only(_word_ids(path)), Packer(capacity, open_windows), []
     base = TaskContext.get().partitionId() << PARTITION_SHIFT
     end = array("I", [END_ID]).tobytes()
     for batch in batches:

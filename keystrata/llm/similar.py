@@ -23,9 +23,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, sent_if_small, ship, stage
+from .common import connected_components, only, sent_if_small, ship, stage
 from .simhash import RADIUS, fingerprint_of, links
-from .substrings import BASES, NO_ID, least_of_runs, mix, rolling, word_hashes
+from .substrings import BASES, NO_ID, _hashes, least_of_runs, mix, rolling, word_hashes
 
 WIDTH, SIMILARITY = 5, 0.8
 #: Consecutive shingles of which one is given; shingles that a short text gives.
@@ -51,6 +51,7 @@ def given(hashes: np.ndarray) -> np.ndarray:
 
 
 def _survey(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
+    only(_hashes)
     for batch in batches:
         prints, found = [], []
         for t in batch["text"]:
@@ -65,6 +66,7 @@ def _survey(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFram
 
 
 def _sets(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
+    only(_hashes)
     for batch in batches:
         out = batch.drop(columns="text")
         out["shingles"] = [np.unique(shingle_hashes(b"" if t is None else t.encode("utf-8", "surrogatepass"), width)).view(np.int64) for t in batch["text"]]

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sent_if_small, ship, stage
+from .common import only, sent_if_small, ship, stage
 from .quality_rules import let
 
 #: Words in a window, and words in the shorter sequences that find the windows worth naming.
@@ -118,6 +118,7 @@ def anchors_of(low: np.ndarray, width: int, anchor: int) -> np.ndarray:
 
 def _survey(batches: Iterator[pd.DataFrame], width: int, anchor: int) -> Iterator[pd.DataFrame]:
     """For each row its words' number and digest, a 128-bit name of its word sequence, and its distinct least anchors."""
+    only(_hashes)
     for batch in batches:
         rows = []
         for doc_id, k, text in zip(batch["doc_id"], batch["k"], batch["text"]):
@@ -133,6 +134,7 @@ def _survey(batches: Iterator[pd.DataFrame], width: int, anchor: int) -> Iterato
 
 def _windows(batches: Iterator[pd.DataFrame], width: int, anchor: int) -> Iterator[pd.DataFrame]:
     """Names and places of the windows whose least anchor is among the row's shared ones."""
+    only(_hashes)
     for batch in batches:
         for doc_id, k, text, shared in zip(batch["doc_id"], batch["k"], batch["text"], batch["shared"]):
             hashes = word_hashes(encoded(text).split())
@@ -192,6 +194,7 @@ def repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) -> tuple[
 
 
 def _kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    only(_hashes)
     for batch in batches:
         rows = []
         for doc_id, k, text, cuts in zip(batch["doc_id"], batch["k"], batch["text"], batch["cuts"]):
@@ -239,6 +242,7 @@ def cut_text(text: str, covered: list[tuple[int, int]]) -> str:
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    only(_hashes)
     for batch in batches:
         place = batch.schema.get_field_index("text")
         texts = []
