@@ -34,7 +34,7 @@ END_ID = 2
 #: A window's number is its partition, shifted by so many bits, plus its number there.
 PARTITION_SHIFT = 36
 #: Word pieces that a Python worker remembers; the memory is emptied when full, which changes no result.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: ASCII marks that may follow a word; the apostrophe, which begins contractions, is not among them.
 MARKS = b".,;:!?*$%&#|()[]{}\"-"
 

@@ -39,7 +39,7 @@ WIDTH, ANCHOR = 50, 16
 #: Odd multipliers of the polynomials.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: Words whose hashes a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 #: doc_id of rows without one, larger than every other.
 NO_ID = (1 << 63) - 1
 
