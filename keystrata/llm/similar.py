@@ -3,10 +3,11 @@
 Fingerprints of 64 bits that differ in at most three find copies with few changes, but not all texts that share four
 fifths of their five-word shingles: such fingerprints differ in about ten bits. So there are further candidates, from
 winnowed shingles: of every run of consecutive shingles a text gives the one of least hash, and short texts give their
-few least. Each of these names a few hubs, the fingerprints that come first in some fixed orders among those that have
-it; a fingerprint is a candidate with the hubs of its shingles, where it shares a good part of them. All candidates are
+few least. Each of these names a few hubs, the sets that come first in some fixed orders among those that have
+it; a set is a candidate with the hubs of its shingles, where it shares a good part of them. All candidates are
 compared by their whole shingle sets, and only pairs of at least the wanted similarity link. No pairs of a group are
-listed: a text meets at most five others for each shingle that it gives.
+listed: a text meets at most five others for each shingle that it gives. Texts are one without a comparison only if
+their shingle sets are equal; different sets under one fingerprint are candidates like any others.
 
 Cases: a null text counts as empty; texts without words are one group; texts of fewer words than a shingle are one
 shingle; the row of smallest doc_id stays, rows without an id come last and ties go by a hash of the text; of rows
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,17 +52,25 @@ def given(hashes: np.ndarray) -> np.ndarray:
     return np.unique(least_of_runs(hashes, RUN))
 
 
+def name_of(hashes: np.ndarray) -> int:
+    """A name of a text's whole shingle set, as a signed long."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(np.unique(hashes).tobytes())).view(np.int64))
+
+
 def _survey(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
     only(_hashes)
     for batch in batches:
-        prints, found = [], []
+        prints, names, found = [], [], []
         for t in batch["text"]:
             raw = b"" if t is None else t.encode("utf-8", "surrogatepass")
             prints.append(fingerprint_of(raw, width))
-            found.append(given(shingle_hashes(raw, width)).view(np.int64))
+            hashes = shingle_hashes(raw, width)
+            names.append(name_of(hashes))
+            found.append(given(hashes).view(np.int64))
         out = batch.drop(columns="text")
         out["doc_id"] = out["doc_id"].astype("Int64")
         out["print"] = np.array(prints, dtype="uint64").view("int64")
+        out["name"] = names
         out["given"] = found
         yield out
 
@@ -82,29 +92,38 @@ def _same_row(docs: DataFrame, ids: DataFrame) -> Column:
 
 
 def candidates(speakers: DataFrame) -> DataFrame:
-    """``(u, v)``: fingerprints and hubs that share enough of what ``speakers(print, given)`` give."""
-    rows = speakers.select("print", F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.size("given").alias("n"), F.explode("given").alias("g"))
-    orders = [F.col("id"), *[F.xxhash64("print", F.lit(salt)) for salt in SALTS]]
-    first = [F.min(F.struct(o.alias("o"), "print", "n")).alias(f"h{i}") for i, o in enumerate(orders)]
+    """``(u, v)``: sets and hubs that share enough of what ``speakers(name, given)`` give."""
+    rows = speakers.select("name", F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.size("given").alias("n"), F.explode("given").alias("g"))
+    orders = [F.col("id"), *[F.xxhash64("name", F.lit(salt)) for salt in SALTS]]
+    first = [F.min(F.struct(o.alias("o"), "name", "n")).alias(f"h{i}") for i, o in enumerate(orders)]
     hubs = rows.groupBy("g").agg(F.count(F.lit(1)).alias("c"), *first).where("c > 1")
     hubs = stage(hubs.select("g", F.array_distinct(F.array(*[F.col(f"h{i}").dropFields("o") for i in range(len(orders))])).alias("hubs")), "hubs")
-    met = rows.join(hubs, "g").select("print", "n", F.explode("hubs").alias("hub")).where(F.col("print") != F.col("hub.print"))
-    pair = met.select(F.least("print", "hub.print").alias("u"), F.greatest("print", "hub.print").alias("v"), F.greatest("n", "hub.n").alias("most"), (F.col("print") < F.col("hub.print")).alias("side"))
+    met = rows.join(hubs, "g").select("name", "n", F.explode("hubs").alias("hub")).where(F.col("name") != F.col("hub.name"))
+    pair = met.select(F.least("name", "hub.name").alias("u"), F.greatest("name", "hub.name").alias("v"), F.greatest("n", "hub.n").alias("most"), (F.col("name") < F.col("hub.name")).alias("side"))
     # a pair in which each is the other's hub counts the shingles twice, once for each side
     counts = pair.groupBy("u", "v", "most", "side").count().groupBy("u", "v", "most").agg(F.max("count").alias("shared"))
     return counts.where(F.col("shared") >= F.greatest(F.lit(1.0), SHARED * F.col("most"))).select("u", "v").distinct()
 
 
+def print_links(first: DataFrame, radius: int) -> DataFrame:
+    """``(u, v)``: candidates among ``first(name, print)`` by fingerprint; the least name of each stands for it and meets its others."""
+    heads = stage(first.groupBy("print").agg(F.min("name").alias("head")), "heads")
+    near = links(heads, radius)
+    near = near.join(heads.select(F.col("print").alias("u"), F.col("head").alias("a")), "u").join(heads.select(F.col("print").alias("v"), F.col("head").alias("b")), "v")
+    same = first.join(heads, "print").where("name <> head").select(F.col("head").alias("u"), F.col("name").alias("v"))
+    return near.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).unionByName(same)
+
+
 def similar_links(docs: DataFrame, speakers: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
     """The edges of ``pairs(u, v)`` whose speakers' shingle sets have at least the wanted Jaccard similarity."""
     pairs = stage(pairs.distinct(), "candidates")
-    wanted = pairs.select(F.col("u").alias("print")).unionByName(pairs.select(F.col("v").alias("print"))).distinct()
-    ids = speakers.join(wanted, "print", "left_semi").select(F.col("doc_id").alias("__id"), F.col("k").alias("__k"), "print")
+    wanted = pairs.select(F.col("u").alias("name")).unionByName(pairs.select(F.col("v").alias("name"))).distinct()
+    ids = speakers.join(wanted, "name", "left_semi").select(F.col("doc_id").alias("__id"), F.col("k").alias("__k"), "name")
     ids = sent_if_small(stage(ids, "asked"), 32)
     texts = _keyed(docs)
-    texts = texts.join(ids, _same_row(texts, ids)).select("print", "text")
-    sets = stage(texts.mapInPandas(functools.partial(_sets, width=width), "print long, shingles array<long>").dropDuplicates(["print"]), "sets")
-    both = pairs.join(sets.select(F.col("print").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("print").alias("v"), F.col("shingles").alias("b")), "v")
+    texts = texts.join(ids, _same_row(texts, ids)).select("name", "text")
+    sets = stage(texts.mapInPandas(functools.partial(_sets, width=width), "name long, shingles array<long>").dropDuplicates(["name"]), "sets")
+    both = pairs.join(sets.select(F.col("name").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("name").alias("v"), F.col("shingles").alias("b")), "v")
     common = F.size(F.array_intersect("a", "b"))
     # texts without words have empty sets and are alike
     return both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v")
@@ -113,16 +132,16 @@ def similar_links(docs: DataFrame, speakers: DataFrame, pairs: DataFrame, width:
 def one_of_each(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` without near copies; all columns stay."""
     ship(docs.sparkSession)
-    survey = _keyed(docs).mapInPandas(functools.partial(_survey, width=width), "doc_id long, k long, print long, given array<long>")
+    survey = _keyed(docs).mapInPandas(functools.partial(_survey, width=width), "doc_id long, k long, print long, name long, given array<long>")
     survey = stage(survey, "survey")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k")
-    first = survey.groupBy("print").agg(F.min(order).alias("best"))
-    first = stage(first.select("print", "best"), "prints")
-    # one row speaks for each fingerprint
+    first = survey.groupBy("name").agg(F.min(order).alias("best"), F.min("print").alias("print"))
+    first = stage(first.select("name", "best", "print"), "names")
+    # one row speaks for each set
     speakers = stage(_speakers(survey, first), "speakers")
-    pairs = links(first, radius).unionByName(candidates(speakers))
+    pairs = print_links(first, radius).unionByName(candidates(speakers))
     roots = connected_components(similar_links(docs, speakers, pairs, width, similarity), "similar")
-    best = first.join(roots, F.col("print") == F.col("u"), "left").groupBy(F.coalesce("root", "print").alias("root")).agg(F.min("best").alias("best"))
+    best = first.join(roots, F.col("name") == F.col("u"), "left").groupBy(F.coalesce("root", "name").alias("root")).agg(F.min("best").alias("best"))
     keep = best.select(F.col("best.doc_id").alias("__id"), F.col("best.k").alias("__k"))
     # the rows that go are fewer than those that stay
     row = survey.select(F.col("doc_id").alias("i"), F.col("k").alias("j")).distinct()
@@ -136,7 +155,7 @@ def one_of_each(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILAR
 
 
 def _speakers(survey: DataFrame, first: DataFrame) -> DataFrame:
-    """``(print, doc_id, k, given)`` of the row that speaks for each fingerprint."""
-    best = first.select(F.col("print").alias("__p"), F.col("best.doc_id").alias("__id"), F.col("best.k").alias("__k"))
-    same = (survey["print"] == best["__p"]) & survey["doc_id"].eqNullSafe(best["__id"]) & (survey["k"] == best["__k"])
-    return survey.join(best, same).select("print", "doc_id", "k", "given").dropDuplicates(["print"])
+    """``(name, doc_id, k, given)`` of the row that speaks for each set."""
+    best = first.select(F.col("name").alias("__n"), F.col("best.doc_id").alias("__id"), F.col("best.k").alias("__k"))
+    same = (survey["name"] == best["__n"]) & survey["doc_id"].eqNullSafe(best["__id"]) & (survey["k"] == best["__k"])
+    return survey.join(best, same).select("name", "doc_id", "k", "given").dropDuplicates(["name"])

@@ -131,6 +131,15 @@ def test_one_of_each_against_all_pairs(spark):
     assert similar.one_of_each(empty(spark)).count() == 0
 
 
+def test_one_fingerprint_of_different_texts(spark):
+    # one shingle makes up over half of each text and so sets all bits of its fingerprint
+    bars = "| " * 200
+    a, b = bars + prose(90, 1), bars + prose(90, 2)
+    assert simhash.fingerprint_of(a.encode(), 5) == simhash.fingerprint_of(b.encode(), 5)
+    rows = [(1, a), (2, b), (3, bars + prose(90, 3)), (4, b + " more"), (5, bars + "| " + prose(90, 3))]
+    assert {r["doc_id"] for r in similar.one_of_each(docs(spark, rows)).collect()} == {1, 2, 3}
+
+
 # neighbours
 
 
