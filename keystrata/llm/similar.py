@@ -4,10 +4,14 @@ Fingerprints of 64 bits that differ in at most three find copies with few change
 fifths of their five-word shingles: such fingerprints differ in about ten bits. So there are further candidates, from
 winnowed shingles: of every run of consecutive shingles a text gives the one of least hash, and short texts give their
 few least. Each of these names a few hubs, the sets that come first in some fixed orders among those that have
-it; a set is a candidate with the hubs of its shingles, where it shares a good part of them. All candidates are
-compared by their whole shingle sets, and only pairs of at least the wanted similarity link. No pairs of a group are
-listed: a text meets at most five others for each shingle that it gives. Texts are one without a comparison only if
-their shingle sets are equal; different sets under one fingerprint are candidates like any others.
+it; a set is a candidate with the hubs of its shingles, where it shares a good part of them. This joins large groups
+without listing their pairs, and may leave links out.
+
+An exact join of what is not yet joined finds the rest. All shingles have one order, those that are frequent in a draw
+of texts last, the others by their hash. Two sets of the wanted similarity share one of the first few shingles of each
+(the prefix, a fifth of the set), are of nearly one size, and share no fewer prefix shingles than their rests can make
+up for. All pairs of different groups that meet these bounds are compared; the order bears on the work only. Texts
+are one without a comparison only if their shingle sets are equal.
 
 Cases: a null text counts as empty; texts without words are one group; texts of fewer words than a shingle are one
 shingle; the row of smallest doc_id stays, rows without an id come last and ties go by a hash of the text; of rows
@@ -17,6 +21,7 @@ equal in id and text one stays; an empty table gives no rows; all columns stay,
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, only, sent_if_small, ship, stage
+from .common import connected_components, drawn, only, sent_if_small, ship, stage, unstage
 from .simhash import RADIUS, fingerprint_of, links
 from .substrings import BASES, NO_ID, _hashes, least_of_runs, mix, rolling, word_hashes
 
@@ -34,6 +39,10 @@ WIDTH, SIMILARITY = 5, 0.8
 RUN, FEW = 32, 4
 #: Orders in which hubs come first, beside that of the ids, and the part of its given shingles that a text must share with a hub.
 SALTS, SHARED = (1, 2, 3, 4), 0.25
+#: Sets drawn (about three times as many) to tell which shingles come last, and how many of these are told at most.
+DRAWN, FREQUENT = 1000, 100_000
+#: Groups that meet at a shingle for each of the parts that they are dealt into, and these parts at most.
+MET, PARTS = 64, 64
 
 
 def shingle_hashes(text: bytes, width: int) -> np.ndarray:
@@ -83,6 +92,37 @@ def _sets(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]
         yield out
 
 
+def _shingles(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
+    only(_hashes)
+    for batch in batches:
+        for t in batch["text"]:
+            yield pd.DataFrame({"g": np.unique(shingle_hashes(b"" if t is None else t.encode("utf-8", "surrogatepass"), width)).view(np.int64)})
+
+
+def prefix_of(hashes: np.ndarray, frequent: np.ndarray, levels: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set of ``hashes`` in the order of all: eight bits of how frequent, then the hash.
+
+    ``frequent`` is sorted and has ``levels`` from 1 to 127."""
+    keys = hashes >> np.uint64(8)
+    if len(frequent) and len(hashes):
+        at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+        keys = keys | np.where(frequent[at] == hashes, levels[at], 0).astype(np.uint64) << np.uint64(56)
+    keys.sort()
+    return keys[: len(keys) - math.ceil(similarity * len(keys) - 1e-6) + 1]
+
+
+def _prefixes(batches: Iterator[pd.DataFrame], width: int, similarity: float, frequent: np.ndarray, levels: np.ndarray) -> Iterator[pd.DataFrame]:
+    only(_hashes)
+    for batch in batches:
+        rows = []
+        for t in batch["text"]:
+            hashes = np.unique(shingle_hashes(b"" if t is None else t.encode("utf-8", "surrogatepass"), width))
+            if len(hashes):
+                prefix = prefix_of(hashes, frequent, levels, similarity).view(np.int64)
+                rows.append((name_of(hashes), len(hashes), len(hashes) - len(prefix), prefix[-1], prefix))
+        yield pd.DataFrame(rows, columns=["name", "n", "rest", "last", "prefix"])
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("k"), "text")
 
@@ -114,6 +154,54 @@ def print_links(first: DataFrame, radius: int) -> DataFrame:
     return near.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).unionByName(same)
 
 
+def frequent_shingles(docs: DataFrame, speakers: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of a draw of sets have, sorted, and a level of each that rises with its number."""
+    some = speakers.where(drawn(F.col("name"), DRAWN, speakers.count())).select(F.col("doc_id").alias("__id"), F.col("k").alias("__k"))
+    some = sent_if_small(stage(some, "drawn"), 32)
+    texts = _keyed(docs)
+    texts = texts.join(some, _same_row(texts, some), "left_semi").select("text")
+    counts = texts.mapInPandas(functools.partial(_shingles, width=width), "g long").groupBy("g").count().where("count > 1")
+    found = np.array([tuple(r) for r in counts.orderBy(F.desc("count"), "g").limit(FREQUENT).collect()], dtype=np.int64).reshape(-1, 2)
+    shingles, order = found[:, 0].view(np.uint64), np.argsort(found[:, 0].view(np.uint64))
+    return shingles[order], np.minimum(127, 4 * np.log2(found[:, 1])).astype(np.uint8)[order]
+
+
+def missing_candidates(docs: DataFrame, survey: DataFrame, speakers: DataFrame, roots: DataFrame, width: int, similarity: float) -> DataFrame:
+    """``(u, v)``: all pairs of sets of different groups in ``roots(u, root)`` that can have the wanted similarity."""
+    frequent, levels = frequent_shingles(docs, speakers, width)
+    # the rows that do not speak for a set are fewer than those that do
+    same = survey["doc_id"].eqNullSafe(speakers["doc_id"]) & (survey["k"] == speakers["k"])
+    silent = survey.join(speakers, same, "left_anti").select(F.col("doc_id").alias("__id"), F.col("k").alias("__k")).distinct()
+    silent = sent_if_small(stage(silent, "silent"), 32)
+    texts = _keyed(docs)
+    texts = texts.join(silent, _same_row(texts, silent), "left_anti").select("text")
+    run = functools.partial(_prefixes, width=width, similarity=similarity, frequent=frequent, levels=levels)
+    prefixes = stage(texts.mapInPandas(run, "name long, n int, rest int, last long, prefix array<long>"), "prefixes")
+    roots = sent_if_small(stage(roots, "roots"), 24)
+    rows = prefixes.join(roots, F.col("name") == F.col("u"), "left").select("name", F.coalesce("root", "name").alias("root"), "n", "rest", "last", F.explode("prefix").alias("g"))
+    # a shingle within one group brings nothing
+    shared = rows.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("g")
+    shared = sent_if_small(stage(shared, "shared"), 24)
+    met = stage(rows.join(shared, "g").dropDuplicates(["g", "name"]), "met")
+    unstage(prefixes)
+    # groups meet first, so that the members of one group never meet; where many do, they are dealt into parts
+    heads = met.groupBy("g", "root").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    parts = heads.groupBy("g").count().select("g", F.least(F.lit(PARTS), F.ceil(F.col("count") / MET)).cast("int").alias("parts"))
+    heads = stage(heads.join(parts, "g"), "met-groups")
+    a = heads.select("g", F.pmod(F.xxhash64("root"), "parts").cast("int").alias("part"), F.col("root").alias("ra"), F.col("low").alias("la"), F.col("high").alias("ha"))
+    b = heads.select("g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("root").alias("rb"), F.col("low").alias("lb"), F.col("high").alias("hb"))
+    near = (F.col("ha") >= similarity * F.col("lb") - 1e-6) & (F.col("hb") >= similarity * F.col("la") - 1e-6)
+    groups = a.join(b, ["g", "part"]).where((F.col("ra") < F.col("rb")) & near).select("g", "ra", "rb")
+    one, two = (met.select("g", F.col("root").alias(f"r{x}"), *[F.col(c).alias(f"{c}_{x}") for c in ("name", "n", "rest", "last")]) for x in "ab")
+    pairs = groups.join(one, ["g", "ra"]).join(two, ["g", "rb"])
+    pairs = pairs.where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-6)
+    counts = pairs.groupBy("name_a", "name_b", "n_a", "n_b", "rest_a", "rest_b", "last_a", "last_b").count()
+    # what is common beyond the prefix that ends first lies in the rest of its set
+    most = F.col("count") + F.when(F.col("last_a") <= F.col("last_b"), F.col("rest_a")).otherwise(F.col("rest_b"))
+    enough = most >= similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")) - 1e-6
+    return counts.where(enough).select(F.least("name_a", "name_b").alias("u"), F.greatest("name_a", "name_b").alias("v"))
+
+
 def similar_links(docs: DataFrame, speakers: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
     """The edges of ``pairs(u, v)`` whose speakers' shingle sets have at least the wanted Jaccard similarity."""
     pairs = stage(pairs.distinct(), "candidates")
@@ -141,6 +229,9 @@ def one_of_each(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILAR
     speakers = stage(_speakers(survey, first), "speakers")
     pairs = print_links(first, radius).unionByName(candidates(speakers))
     roots = connected_components(similar_links(docs, speakers, pairs, width, similarity), "similar")
+    more = stage(similar_links(docs, speakers, missing_candidates(docs, survey, speakers, roots, width, similarity), width, similarity), "missing")
+    if not more.isEmpty():
+        roots = connected_components(roots.select("u", F.col("root").alias("v")).unionByName(more), "similar")
     best = first.join(roots, F.col("name") == F.col("u"), "left").groupBy(F.coalesce("root", "name").alias("root")).agg(F.min("best").alias("best"))
     keep = best.select(F.col("best.doc_id").alias("__id"), F.col("best.k").alias("__k"))
     # the rows that go are fewer than those that stay

@@ -131,6 +131,39 @@ def test_one_of_each_against_all_pairs(spark):
     assert similar.one_of_each(empty(spark)).count() == 0
 
 
+def test_one_of_each_with_widely_shared_passages(spark):
+    # most of a text are passages that many others have, so that the hubs of its shingles are other texts
+    rng = random.Random(4)
+    passages = [prose(60, 500 + n) for n in range(40)]
+    rows = []
+    for n in range(220):
+        words = " ".join([*rng.sample(passages, 6), prose(60, 1000 + n)]).split()
+        rows.append((len(rows), " ".join(words)))
+        if n % 4 == 0:
+            words[rng.randrange(len(words))] = "changed"
+            rows.append((len(rows), " ".join(words)))
+    sets = []
+    for _, t in rows:
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)})
+    gone = {b for a in range(len(rows)) for b in range(a + 1, len(rows)) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert len(gone) >= 55
+    got = {r["doc_id"] for r in similar.one_of_each(docs(spark, rows)).collect()}
+    assert got == set(range(len(rows))) - gone
+
+
+def test_prefixes_meet():
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 4, 5, 9, 10, 41, 300):
+        for similarity in (0.5, 0.8, 1.0):
+            whole = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+            part = np.sort(rng.permutation(whole)[: math.ceil(similarity * n - 1e-6)])
+            frequent = np.sort(rng.permutation(whole)[: n // 2])
+            levels = rng.integers(1, 128, len(frequent)).astype(np.uint8)
+            first, other = (similar.prefix_of(x, frequent, levels, similarity) for x in (whole, part))
+            assert len(first) and np.intersect1d(first, other).size
+
+
 def test_one_fingerprint_of_different_texts(spark):
     # one shingle makes up over half of each text and so sets all bits of its fingerprint
     bars = "| " * 200
