@@ -28,6 +28,8 @@ from .common import crc_mod, ship
 
 #: Bytes of a dictionary, training texts drawn for it and the longest of these in characters, and languages at most.
 DICTIONARY, DRAWN, LONGEST, LANGUAGES = 112 * 1024, 400, 20_000, 256
+#: Longer texts whose first LONGEST characters fill what shorter ones leave of a dictionary.
+PIECES = 32
 #: Texts of up to so many bytes count as short.
 SHORT = 600
 #: A margin below so many bytes, or so large a part of the best size, is narrow.
@@ -112,16 +114,22 @@ def _predict(batches: Iterator[pd.DataFrame], langs: list[str], content: tuple[b
 
 
 def fit(docs: DataFrame, draw: int = DRAWN) -> Model:
-    """Dictionaries from ``docs(doc_id, text, lang)``; a bounded draw of whole texts for each language, by hashed id."""
-    rows = docs.where("text is not null and lang is not null").select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
+    """Dictionaries from ``docs(doc_id, text, lang)``; a bounded draw of texts for each language, by hashed id.
+
+    Whole texts come first; the beginnings of some that are too long come after them."""
+    rows = docs.where("text is not null and lang is not null").select("doc_id", "text", "lang", (F.length("text") > LONGEST).alias("long"))
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if("long").alias("n_long"))
+    sizes = sizes.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    counts = {r["lang"]: r["n"] for r in sizes}
+    order = Window.partitionBy("lang", "long").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
     wanted = F.lit(False)
-    for lang, n in counts.items():
-        wanted = wanted | ((F.col("lang") == lang) & common.drawn(F.col("doc_id"), draw, n))
-    some = rows.where(wanted & (F.length("text") <= LONGEST)).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= draw)
+    for lang, n, n_long in sizes:
+        short = ~F.col("long") & common.drawn(F.col("doc_id"), draw, n - n_long)
+        wanted = wanted | ((F.col("lang") == lang) & (short | (F.col("long") & common.drawn(F.col("doc_id"), PIECES, n_long))))
+    some = rows.where(wanted).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= F.when(F.col("long"), PIECES).otherwise(draw))
+    some = some.withColumn("text", F.substring("text", 1, LONGEST))
     texts: dict[str, tuple[int, list[str]]] = {lang: (n, []) for lang, n in counts.items()}
-    for r in some.orderBy("lang", "nth").select("lang", "text").toLocalIterator():
+    for r in some.orderBy("lang", "long", "nth").select("lang", "text").toLocalIterator():
         texts[r["lang"]][1].append(r["text"])
     return Model(texts)
 

@@ -322,6 +322,16 @@ def test_language(spark, sf_dir):
     assert got["score"].between(0, 1).all()
 
 
+def test_language_of_long_texts_only(spark):
+    long = "zorvik blenta quosh marn telvi dusk " * 700
+    assert len(long) > language.LONGEST
+    rows = spark.createDataFrame([(n, long, "zz") for n in range(6)] + [(n, prose(80, n), "en") for n in range(6, 20)], "doc_id long, text string, lang string")
+    model = language.fit(rows)
+    content = dict(zip(model.langs, model.content))
+    assert 0 < len(content["zz"]) <= language.DICTIONARY and content["en"]
+    assert language.classify("telvi dusk zorvik blenta quosh marn", model.langs, tuple(model.content))[0] == "zz"
+
+
 def test_language_cases(spark):
     rows = [(1, "the cat sat on the mat and the dog ran"), (2, "1234 !!"), (3, ""), (4, None), (5, "le chat est dans la maison"), (5, "le chat est dans la maison")]
     model = language.Model({"en": (5, ["the cat and the dog were on the mat in the sun"] * 3), "fr": (3, ["le chat et le chien sont dans la maison"] * 3)})
