@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import bloom, folds, scalar
-from .model import EVENT_LOG_SQL, UNBOUNDED, Bound, event_log
+from .model import EVENT_LOG_SQL, UNBOUNDED, Bound, event_log, user_key
 from .operators import gc, merge, snapshot, transactions, writes
 from .plans import compaction, runs
 
@@ -39,7 +39,7 @@ def half(log: DataFrame) -> Column:
 
 
 def user(n: Column) -> Column:
-    return F.concat(F.lit("u"), F.lpad(n.cast("string"), 5, "0"))
+    return user_key(n)
 
 
 def ranged(log: DataFrame) -> DataFrame:

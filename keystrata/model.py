@@ -91,6 +91,12 @@ def in_order(df: DataFrame) -> DataFrame:
     return df.orderBy(F.asc("key"), F.desc("ts"))
 
 
+def user_key(n: Column) -> Column:
+    """``u`` and the number, padded to five digits and never cut."""
+    digits = n.cast("string")
+    return F.concat(F.lit("u"), F.lpad(digits, F.greatest(F.lit(5), F.length(digits)), F.lit("0")))
+
+
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ``events`` table as a log of versions.
 
@@ -98,7 +104,7 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     error = F.col("event_type") == "error"
     return events.select(
-        F.concat(F.lit("u"), F.lpad(F.col("user_id").cast("string"), 5, "0")).alias("key"),
+        user_key(F.col("user_id")).alias("key"),
         (F.col("event_id") + 1).alias("ts"),
         error.alias("is_delete"),
         F.when(error, "").otherwise(F.concat("event_type", F.lit("@"), F.col("event_id").cast("string"))).alias("value"),

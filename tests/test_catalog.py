@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from keystrata import catalog
+from keystrata.model import event_log
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -29,3 +30,11 @@ def test_equal_rows(spark, sf_dir, duck, name):
     kinds = dict(zip(want.columns, map(str, want.types)))
     for c, kind in got.dtypes:
         assert {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "boolean": "BOOLEAN"}[kind] == kinds[c], c
+
+
+def test_keys_of_long_user_ids(spark, tmp_path):
+    ids = [7, 99_999, 100_000, 100_001, 1_000_000]
+    rows = [(n, user, "click") for n, user in enumerate(ids)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string").write.parquet(f"file://{tmp_path}/events.parquet")
+    keys = [r["key"] for r in event_log(spark, f"file://{tmp_path}").orderBy("ts").collect()]
+    assert keys == ["u00007", "u99999", "u100000", "u100001", "u1000000"]
