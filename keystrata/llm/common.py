@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import shipping
 
-__all__ = ["SPACE", "WORD", "connected_components", "crc_mod", "crc_mod_py", "drawn", "only", "read", "sent_if_small", "shared_dir", "ship", "stage", "unstage"]
+__all__ = ["SPACE", "WORD", "connected_components", "crc_mod", "crc_mod_py", "drawn", "fresh", "only", "read", "sent_if_small", "shared_dir", "ship", "spread_join", "stage", "unstage"]
 
 #: ASCII white space; words are the maximal runs of other characters.
 SPACE = r"\x20\x09-\x0D"
@@ -51,21 +52,44 @@ def only(cache: dict) -> dict:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a folder of our own only where the session names none."""
+    """The folder that the driver and all executors share, as the session names it.
+
+    Where it names none, a local session gets a temporary one; on a cluster no folder of one machine will do."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = context_dir.get() if context_dir.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='keystrata-checkpoint-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+_cleaned: set[str] = set()
+
+
+def _stage_root(spark: SparkSession) -> str:
+    """The application's folder of staged tables, deleted when the driver ends."""
+    root = f"{shared_dir(spark)}/keystrata/{spark.sparkContext.applicationId}"
+    if root not in _cleaned:
+        _cleaned.add(root)
+        atexit.register(_delete, spark, root)
+    return root
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    sc = spark.sparkContext
+    if sc._jsc is not None:  # the session may be stopped already
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a compressed table in the shared folder and return the reread table, whose lineage is cut."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/keystrata/{name}-{uuid.uuid4().hex}"
+    path = f"{_stage_root(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
@@ -74,13 +98,10 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 def unstage(df: DataFrame) -> None:
     """Delete what ``stage`` wrote for ``df``; only for tables that nothing reads any more."""
     spark = df.sparkSession
-    root = f"{shared_dir(spark)}/keystrata/"
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    root = _stage_root(spark).rpartition("/keystrata/")[2]
     for folder in {os.path.dirname(f) for f in df.inputFiles()}:
-        if f"{root.rstrip('/').rpartition('/')[2]}/" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+        if f"/{root}/" in folder:
+            _delete(spark, folder)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -108,6 +129,44 @@ def sent_if_small(df: DataFrame, row_bytes: Column | int) -> DataFrame:
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """``names``, each lengthened until no column and no other of them has it, whatever the case of its letters."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: A key is hot if it holds more rows than this part of all and than this number.
+HOT_PART, HOT_LEAST = 1000, 20_000
+
+
+def spread_join(many: DataFrame, few: DataFrame, on: str | list[str], how: str = "inner", part: int = HOT_PART, least: int = HOT_LEAST) -> DataFrame:
+    """``many.join(few, on, how)``, with the rows of hot keys of ``many`` dealt over several tasks.
+
+    Fewer than ``part`` keys can each hold more than the part of all rows, so these keys, and nothing else, come to
+    the driver and go to all tasks. Their rows are dealt by a hash of all columns, and their rows of ``few`` are
+    repeated for every share. ``many`` should be staged: it is read to be measured. ``how`` is inner or left."""
+    on = [on] if isinstance(on, str) else list(on)
+    total = many.count()
+    limit = max(least, total // part)
+    if total <= limit:
+        return many.join(few, on, how)
+    hot = many.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).collect()
+    if not hot:
+        return many.join(few, on, how)
+    n, share = fresh([*many.columns, *few.columns], "parts", "share")
+    types = ", ".join(f"`{c}` {dict(many.dtypes)[c]}" for c in on)
+    keys = F.broadcast(many.sparkSession.createDataFrame([(*[r[c] for c in on], -(-r["n"] // limit)) for r in hot], f"{types}, {n} long"))
+    dealt = many.join(keys, on, "left").withColumn(share, F.coalesce(F.pmod(F.xxhash64(*many.columns), F.col(n)), F.lit(0).cast("long"))).drop(n)
+    shares = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col(n), F.lit(1).cast("long")) - 1))
+    copied = few.join(keys, on, "left").withColumn(share, shares).drop(n)
+    return dealt.join(copied, [*on, share], how).drop(share)
+
+
 def drawn(column: Column, wanted: int, rows: int) -> Column:
     """True for about three times ``wanted`` of ``rows`` rows, or all if there are few, by a hash of ``column``.
 
@@ -118,12 +177,13 @@ def drawn(column: Column, wanted: int, rows: int) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(1 << 40)) < F.lit(-(-3 * wanted * (1 << 40) // rows))
 
 
-def connected_components(edges: DataFrame, name: str = "cc", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """Component of each vertex of ``edges(u, v)`` as rows ``(u, root)``, root the smallest vertex of the component.
 
     Large-star and small-star rounds over DataFrames. Each round only takes minima per vertex, which Spark combines
-    before it shuffles, and joins them back; no neighbourhood is ever gathered in one row, and no edge comes to the
-    driver. Rounds end when the edges no longer change. An empty edge table gives an empty result.
+    before it shuffles, and joins them back, the edges of a hot vertex dealt over several tasks; no neighbourhood is
+    ever gathered in one row, and no edge comes to the driver. Rounds go on until the edges no longer change, which
+    takes a number that grows with the logarithm of the longest path. An empty edge table gives an empty result.
     """
 
     def star(e: DataFrame, large: bool) -> DataFrame:
@@ -132,7 +192,8 @@ def connected_components(edges: DataFrame, name: str = "cc", max_rounds: int = 6
             F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
         )
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        joined = both.join(least, "u")
+        # large stars start from a staged table; their result has no vertex with many smaller neighbours
+        joined = spread_join(both, least, "u") if large else both.join(least, "u")
         if large:
             return joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
@@ -142,14 +203,10 @@ def connected_components(edges: DataFrame, name: str = "cc", max_rounds: int = 6
 
     now = stage(edges.select("u", "v").where("u <> v").distinct(), name)
     seen = mark(now)
-    for _ in range(max_rounds):
+    settled = False
+    while not settled:
         after = stage(star(star(now, True), False), name)
-        fresh = mark(after)
+        now_seen = mark(after)
         unstage(now)
-        now = after
-        if fresh == seen:
-            break
-        seen = fresh
-    else:
-        raise RuntimeError("connected components did not settle")
+        now, settled, seen = after, now_seen == seen, now_seen
     return now.select("u", F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("u"), F.col("v").alias("root")).distinct())

@@ -1,10 +1,14 @@
 """Language identification by compression.
 
-Each language has a dictionary: whole training texts up to a fixed number of bytes, as raw content for zstandard. A
-text is compressed once with each dictionary; the language whose dictionary leaves the fewest bytes is chosen. Where
-the two smallest sizes are close, relative to the text, the answer is marked as rejected. Short texts are compressed
-with a strategy that finds shorter matches. Dictionaries and texts are in lower case, with one space for every run of
-ASCII characters that are no letters, so that capitals and marks do not hide the words.
+Each language has a dictionary: pieces of training texts up to a fixed number of bytes, as raw content for zstandard.
+A text is compressed once with each dictionary, whatever its length by the same strategy; the language whose
+dictionary leaves the fewest bytes is chosen. Where the two smallest sizes are close, relative to the text, the answer
+is marked as rejected. Dictionaries and texts are in lower case, with one space for every run of ASCII characters that
+are no letters, so that capitals and marks do not hide the words.
+
+Every language of the training texts has a dictionary. For each, a bounded number of texts is drawn by hashed id and
+cut into pieces; the first pieces of all of them fill the dictionary, then their second pieces, and so on. All
+dictionaries together are bounded: where there are very many languages, each gets less.
 
 Cases: a text that is null or has no letter is ``und`` with score 0; equal sizes go to the language whose dictionary
 holds more of the text's words, then to the more frequent language, then to the first name; very long texts are
@@ -23,15 +27,12 @@ import zstandard as zstd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import common
 from .common import crc_mod, ship
 
-#: Bytes of a dictionary, training texts drawn for it and the longest of these in characters, and languages at most.
-DICTIONARY, DRAWN, LONGEST, LANGUAGES = 112 * 1024, 400, 20_000, 256
-#: Longer texts whose first LONGEST characters fill what shorter ones leave of a dictionary.
-PIECES = 32
-#: Texts of up to so many bytes count as short.
-SHORT = 600
+#: Bytes of a dictionary, and of all of them.
+DICTIONARY, ALL = 112 * 1024, 32 << 20
+#: Training texts drawn for a dictionary, and characters of a piece of one.
+DRAWN, PIECE = 400, 1000
 #: A margin below so many bytes, or so large a part of the best size, is narrow.
 NARROW_BYTES, NARROW_PART = 2, 0.01
 #: How fast the score rises with the margin per byte of text.
@@ -51,38 +52,34 @@ class Model:
 
     def __init__(self, texts: dict[str, tuple[int, list[str]]]):
         self.langs = sorted(texts, key=lambda lang: (-texts[lang][0], lang))
-        self.content = [self._join(texts[lang][1]) for lang in self.langs]
+        self.content = [self._join(texts[lang][1], room(len(texts))) for lang in self.langs]
 
     @staticmethod
-    def _join(texts: list[str]) -> bytes:
-        out, size = [], 0
-        for t in texts:
-            raw = prepared(t) + b" "
-            if size + len(raw) <= DICTIONARY:
-                out.append(raw)
-                size += len(raw)
-        return b"".join(out)
+    def _join(pieces: list[str], most: int) -> bytes:
+        """The pieces in order, as many as there is room for; the last may be cut."""
+        return b" ".join(map(prepared, pieces))[:most]
+
+
+def room(languages: int) -> int:
+    """Bytes of each dictionary."""
+    return min(DICTIONARY, ALL // max(1, languages))
 
 
 @functools.lru_cache(maxsize=2)
 def _tools(content: tuple[bytes, ...]):
-    """Compressors for long and for short texts, and the words of each dictionary."""
-    fine = zstd.ZstdCompressionParameters(strategy=zstd.STRATEGY_BTULTRA, window_log=18, hash_log=17, chain_log=17, search_log=4, min_match=3, target_length=64, write_content_size=0, write_checksum=0, write_dict_id=0)
-    quick = zstd.ZstdCompressionParameters.from_level(3, write_content_size=0, write_checksum=0, write_dict_id=0)
+    """A compressor for each dictionary, and its words. Greedy matching of four bytes and more finds words and their
+    parts; finer strategies are slower and, on held-out texts, less often right."""
+    params = zstd.ZstdCompressionParameters(strategy=zstd.STRATEGY_GREEDY, window_log=18, hash_log=17, chain_log=17, search_log=3, min_match=4, target_length=16, write_content_size=0, write_checksum=0, write_dict_id=0)
     out = []
     for raw in content:
-        each = []
-        for params in (quick, fine):
-            d = zstd.ZstdCompressionDict(raw, dict_type=zstd.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(compression_params=params)
-            each.append(zstd.ZstdCompressor(dict_data=d, compression_params=params))
-        out.append((*each, frozenset(raw.split())))
+        d = zstd.ZstdCompressionDict(raw, dict_type=zstd.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(compression_params=params)
+        out.append((zstd.ZstdCompressor(dict_data=d, compression_params=params), frozenset(raw.split())))
     return out
 
 
 def sizes(text: bytes, content: tuple[bytes, ...]) -> list[int]:
-    which = 1 if len(text) <= SHORT else 0
-    return [len(tool[which].compress(text)) for tool in _tools(content)]
+    return [len(tool.compress(text)) for tool, _ in _tools(content)]
 
 
 def classify(text: str | None, langs: list[str], content: tuple[bytes, ...]) -> tuple[str, float, bool]:
@@ -96,7 +93,7 @@ def classify(text: str | None, langs: list[str], content: tuple[bytes, ...]) ->
     best = tied[0]
     if len(tied) > 1:
         parts = raw.split()
-        best = max(tied, key=lambda i: (sum(w in _tools(content)[i][2] for w in parts), -i))
+        best = max(tied, key=lambda i: (sum(w in _tools(content)[i][1] for w in parts), -i))
     if len(size) == 1:
         return langs[best], 1.0, False
     margin = min(s for i, s in enumerate(size) if i != best) - least
@@ -116,20 +113,23 @@ def _predict(batches: Iterator[pd.DataFrame], langs: list[str], content: tuple[b
 def fit(docs: DataFrame, draw: int = DRAWN) -> Model:
     """Dictionaries from ``docs(doc_id, text, lang)``; a bounded draw of texts for each language, by hashed id.
 
-    Whole texts come first; the beginnings of some that are too long come after them."""
-    rows = docs.where("text is not null and lang is not null").select("doc_id", "text", "lang", (F.length("text") > LONGEST).alias("long"))
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if("long").alias("n_long"))
-    sizes = sizes.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    counts = {r["lang"]: r["n"] for r in sizes}
-    order = Window.partitionBy("lang", "long").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    wanted = F.lit(False)
-    for lang, n, n_long in sizes:
-        short = ~F.col("long") & common.drawn(F.col("doc_id"), draw, n - n_long)
-        wanted = wanted | ((F.col("lang") == lang) & (short | (F.col("long") & common.drawn(F.col("doc_id"), PIECES, n_long))))
-    some = rows.where(wanted).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= F.when(F.col("long"), PIECES).otherwise(draw))
-    some = some.withColumn("text", F.substring("text", 1, LONGEST))
+    What comes to the driver is at most a dictionary's bytes, in characters, and a piece for each language."""
+    rows = docs.where("text is not null and lang is not null").select("doc_id", "text", "lang")
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    most = room(len(counts))
+    spark = docs.sparkSession
+    # how many of a language's rows the hash lets through, as a small table
+    shares = spark.createDataFrame([(lang, 1 << 40 if n <= 4 * draw else -(-3 * draw * (1 << 40) // n)) for lang, n in counts.items()], "lang string, below long")
+    some = rows.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < F.col("below"))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
+    some = some.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= draw)
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.least(F.length("text"), F.lit(most)) - 1), F.lit(PIECE))
+    pieces = some.select("lang", "nth", F.substring("text", 1, most).alias("text"), F.posexplode(starts).alias("piece", "at"))
+    pieces = pieces.select("lang", "nth", "piece", F.substring("text", F.col("at") + 1, F.lit(PIECE)).alias("text"))
+    before = Window.partitionBy("lang").orderBy("piece", "nth").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.withColumn("before", F.coalesce(F.sum(F.length("text")).over(before), F.lit(0))).where(F.col("before") < most)
     texts: dict[str, tuple[int, list[str]]] = {lang: (n, []) for lang, n in counts.items()}
-    for r in some.orderBy("lang", "long", "nth").select("lang", "text").toLocalIterator():
+    for r in pieces.orderBy("lang", "piece", "nth").select("lang", "text").toLocalIterator():
         texts[r["lang"]][1].append(r["text"])
     return Model(texts)
 
