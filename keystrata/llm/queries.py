@@ -30,8 +30,9 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
-def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.digest(read(spark, sf_dir, "documents"))
+def op5_secrets(spark: SparkSession, sf_dir: str, ledger: str | None = None) -> DataFrame:
+    """``ledger`` names a folder that is read and appended to; without one, every scan starts from an empty ledger."""
+    return secrets.digest(read(spark, sf_dir, "documents"), path=ledger)
 
 
 def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
