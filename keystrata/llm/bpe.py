@@ -7,9 +7,17 @@ joins neighbouring tokens to the merge table and contracts each word's leftmost
 a pair left. Decoding joins token positions to the vocabulary and aggregates the bytes in order. Words are remembered
 between batches up to a fixed number, which changes no result.
 
-Cases: a null text counts as empty; an empty text has no tokens, and its digests are those of the empty string; in
-very long words a step contracts all pairs of the least rank; repeated documents get one row each; an empty table gives
-no rows; other columns are ignored, whatever their names.
+Two things keep long words, such as whole phrases of scripts without spaces, from taking many steps. Where no token
+can span two neighbouring bytes, because none holds them with what stands around them, a word falls into parts that
+are encoded each on its own. And a step contracts, in every stretch of a long part, its pairs of least rank, if neither
+neighbouring stretch has a lower one. A stretch is more than twice as long as the longest token: a token that grows
+into a stretch from outside cannot reach the pair before the pair is contracted, so the pair would be contracted with
+the same two tokens if the pairs of the whole word took turns. Of pairs of one rank that overlap every other one is
+contracted, from the left; where the token made can go into a pair of lower rank still, only the leftmost is.
+
+Cases: a null text counts as empty; an empty text has no tokens, and its digests are those of the empty string; very
+long words are encoded whole; repeated documents get one row each; an empty table gives no rows; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,8 +39,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Words remembered by a worker, the longest remembered, and words in one query.
-REMEMBERED, LONGEST, AT_ONCE = 700_000, 48, 40_000
+#: Words, and parts of words, remembered by a worker, the longest remembered, and words in one query.
+REMEMBERED, LONGEST, AT_ONCE = 600_000, 48, 40_000
 #: Characters of text that are looked up at once.
 AT_A_TIME = 6_000_000
 
@@ -54,35 +62,34 @@ WITH RECURSIVE step(word, toks) USING KEY (word) AS (
 SELECT word, toks FROM step
 """.format(places=1 << 31)
 
-# Long words: a step contracts every pair of the least rank, from the left and without overlap. That is what single
-# contractions come to unless the token made can go into a pair of lower rank still; then only the leftmost is contracted.
+# Words longer than a stretch: the same step for every stretch that has no lower pair beside it.
 ENCODE_LONG = """
 WITH RECURSIVE step(word, toks) USING KEY (word) AS (
     SELECT word, toks FROM fresh
   UNION
-    SELECT word, list(tok ORDER BY place)
+    SELECT word, list(made ORDER BY place)
     FROM (
-        SELECT word, place, CASE WHEN taken THEN least ELSE tok END AS tok, coalesce(lag(taken) OVER (PARTITION BY word ORDER BY place), false) AS gone
-        FROM (
-            SELECT word, place, tok, least,
-                   hit AND CASE WHEN least IN (SELECT token FROM alone) THEN nth = 1
-                                ELSE row_number() OVER (PARTITION BY word, hit, place - nth ORDER BY place) % 2 = 1 END AS taken
-            FROM (
-                SELECT *, row_number() OVER (PARTITION BY word, hit ORDER BY place) AS nth
-                FROM (
-                    SELECT p.word, p.place, p.tok, min(m.made) OVER (PARTITION BY p.word) AS least, coalesce(m.made = min(m.made) OVER (PARTITION BY p.word), false) AS hit
-                    FROM (SELECT word, unnest(range(1, len(toks) + 1)) AS place, unnest(toks) AS tok, unnest(list_append(toks[2:], -1)) AS following FROM step) AS p
-                    LEFT JOIN merges AS m ON m.a = p.tok AND m.b = p.following
-                )
-            )
-            WHERE least IS NOT NULL
-        )
+        WITH tok AS (SELECT word, unnest(range(1, len(toks) + 1)) AS place, unnest(toks) AS tok, unnest(list_append(toks[2:], -1)) AS following FROM step),
+        pair AS (SELECT t.word, t.place, t.place // {{stretch}} AS part, m.made FROM tok AS t JOIN merges AS m ON m.a = t.tok AND m.b = t.following),
+        low AS (SELECT word, part, min(made) AS made, min(made::BIGINT * {places} + place) AS least FROM pair GROUP BY word, part),
+        ready AS (SELECT x.word, x.part, x.made, x.least % {places} AS place, x.made IN (SELECT token FROM alone) AS single,
+                coalesce(a.made >= x.made, true) AND coalesce(b.made >= x.made, true) AS free,
+                coalesce(a.least > x.least, true) AND coalesce(b.least > x.least, true) AS lowest
+            FROM low AS x LEFT JOIN low AS a ON a.word = x.word AND a.part = x.part - 1 LEFT JOIN low AS b ON b.word = x.word AND b.part = x.part + 1),
+        hit AS (SELECT p.word, p.place, p.made, r.free, r.single, r.lowest AND p.place = r.place AS first,
+                p.place - row_number() OVER (PARTITION BY p.word, p.made ORDER BY p.place) AS run
+            FROM pair AS p JOIN ready AS r ON r.word = p.word AND r.part = p.part AND r.made = p.made),
+        chosen AS (SELECT word, place, made
+            FROM (SELECT *, row_number() OVER beside AS nth, bool_and(free) OVER beside AS undisturbed FROM hit WINDOW beside AS (PARTITION BY word, made, run ORDER BY place))
+            WHERE CASE WHEN single THEN first ELSE undisturbed AND nth % 2 = 1 END)
+        SELECT t.word, t.place, coalesce(c.made, t.tok) AS made
+        FROM tok AS t LEFT JOIN chosen AS c ON c.word = t.word AND c.place = t.place LEFT JOIN chosen AS g ON g.word = t.word AND g.place = t.place - 1
+        WHERE g.place IS NULL AND t.word IN (SELECT word FROM chosen)
     )
-    WHERE NOT gone
     GROUP BY word
 )
 SELECT word, toks FROM step
-"""
+""".format(places=1 << 31)
 
 DECODE = """
 SELECT t.word, string_agg(v.hex, '' ORDER BY t.place) AS hex
@@ -107,6 +114,41 @@ def merge_rows(ranks: dict[bytes, int]) -> list[tuple[int, int, int]]:
     ]
 
 
+class Joints:
+    """Which neighbouring bytes of a word some token may span.
+
+    A token of two or three bytes spans them as it is; a longer one has four bytes in a row around them, and these
+    are looked up by a hash: where it errs, bytes count as joined that are not, which costs time only."""
+
+    BITS = 24
+
+    def __init__(self, tokens: list[bytes]):
+        self.two = np.zeros(1 << 16, dtype=bool)
+        self.three, self.four = np.zeros(1 << self.BITS, dtype=bool), np.zeros(1 << self.BITS, dtype=bool)
+        for size, table in ((2, self.two), (3, self.three)):
+            table[self._grams(np.frombuffer(b"".join(t for t in tokens if len(t) == size), dtype=np.uint8), size)[::size]] = True
+        for t in tokens:
+            if len(t) > 3:
+                self.four[self._grams(np.frombuffer(t, dtype=np.uint8), 4)] = True
+
+    def _grams(self, x: np.ndarray, size: int) -> np.ndarray:
+        """A number below 2**BITS for every ``size`` bytes in a row."""
+        n = max(0, len(x) - size + 1)
+        out = np.zeros(n, dtype=np.uint32)
+        for i in range(size):
+            out = (out << np.uint32(8)) | x[i : i + n]
+        return (out * np.uint32(0x9E3779B1)) >> np.uint32(32 - self.BITS) if size == 4 else out
+
+    def between(self, x: np.ndarray) -> np.ndarray:
+        """For every two neighbours among the bytes ``x`` whether they are joined."""
+        out = self.two[self._grams(x, 2)]
+        for size, table in ((3, self.three), (4, self.four)):
+            hit = table[self._grams(x, size)]
+            for i in range(size - 1):  # a hit joins all bytes inside
+                out[i : i + len(hit)] |= hit
+        return out
+
+
 class Codec:
     """A vocabulary in a private in-memory database."""
 
@@ -114,32 +156,71 @@ class Codec:
         self.ranks = load_ranks(ranks_path)
         self.split = regex.compile(pattern).findall
         self.byte_token = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "250MB", "preserve_insertion_order": False})
+        self.joints = Joints(list(self.ranks))
+        self.stretch = 2 * max(map(len, self.ranks)) + 4
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "1GB", "preserve_insertion_order": False, "temp_directory": ""})
         rows = merge_rows(self.ranks)
         merges = pa.table({n: pa.array([r[i] for r in rows], pa.int32()) for i, n in enumerate(("a", "b", "made"))})
         vocabulary = pa.table({"token": pa.array(list(self.ranks.values()), pa.int32()), "hex": [k.hex() for k in self.ranks]})
+        # tokens that can go into a token of lower rank than their own
         alone = pa.table({"token": pa.array(sorted({part for *parts, made in rows for part in parts if made < part}), pa.int32())})
         for name, table in (("merges", merges), ("vocabulary", vocabulary), ("alone", alone)):
             self.db.register("given", table)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
         #: word -> (ids in decimal joined by commas, bytes decoded from the ids)
         self.words: dict[str, tuple[str, bytes]] = {}
+        #: part of a word -> its ids
+        self.parts: dict[bytes, list[int]] = {}
+
+    def parts_of(self, found: list[bytes]) -> list[list[bytes]]:
+        """Each word cut where no token can span two bytes."""
+        ends = np.cumsum([len(w) for w in found], dtype=np.int64)
+        whole = b"".join(found)
+        joined = self.joints.between(np.frombuffer(whole, dtype=np.uint8))
+        joined[ends[:-1] - 1] = False
+        cuts = [*(np.flatnonzero(~joined) + 1).tolist(), len(whole)]
+        out, at, k = [], 0, 0
+        for end in ends.tolist():
+            own = []
+            while at < end:
+                own.append(whole[at : cuts[k]])
+                at, k = cuts[k], k + 1
+            out.append(own)
+        return out
 
     def encode_words(self, found: list[bytes]) -> list[list[int]]:
         """Token ids of each word; a word that is a token is that token."""
-        out = [[self.ranks[w]] if w in self.ranks else None for w in found]
-        todo = [i for i, ids in enumerate(out) if ids is None]
-        todo.sort(key=lambda i: len(found[i]) > LONGEST)
-        short = sum(len(found[i]) <= LONGEST for i in todo)
-        for k in [*range(0, short, AT_ONCE), *range(short, len(todo), AT_ONCE)]:
-            part = todo[k : min(k + AT_ONCE, short)] if k < short else todo[k : k + AT_ONCE]
-            offsets = np.cumsum([0, *[len(found[i]) for i in part]], dtype=np.int32)
-            tokens = self.byte_token[np.frombuffer(b"".join([found[i] for i in part]), dtype=np.uint8)]
-            start = pa.table({"word": pa.array(part, pa.int32()), "toks": pa.ListArray.from_arrays(offsets, tokens)})
-            self.db.register("fresh", start)
-            coded = self.db.sql(ENCODE if k < short else ENCODE_LONG).to_arrow_table()
-            for word, toks in zip(coded["word"].to_pylist(), coded["toks"].to_pylist()):
-                out[word] = toks
+        out = [[self.ranks[w]] if w in self.ranks else [] for w in found]
+        for k in range(0, len(found), AT_ONCE):
+            todo = [i for i in range(k, min(k + AT_ONCE, len(found))) if found[i] and found[i] not in self.ranks]
+            if not todo:
+                continue
+            split = self.parts_of([found[i] for i in todo])
+            new = {p for parts in split for p in parts}.difference(self.parts)
+            if len(self.parts) + len(new) > REMEMBERED:
+                self.parts.clear()
+                new = {p for parts in split for p in parts}
+            extra = dict(zip(new, self._encode_parts(list(new))))
+            # a word that is one part is remembered with the words
+            self.parts.update((p, extra[p]) for parts in split if len(parts) > 1 for p in parts if p in extra and len(p) <= LONGEST)
+            known = ChainMap(extra, self.parts)
+            for i, parts in zip(todo, split):
+                out[i] = known[parts[0]] if len(parts) == 1 else [t for p in parts for t in known[p]]
+        return out
+
+    def _encode_parts(self, found: list[bytes]) -> list[list[int]]:
+        out: list[list[int]] = [[int(self.byte_token[w[0]])] if len(w) == 1 else [] for w in found]
+        for short in (True, False):
+            todo = [i for i, w in enumerate(found) if len(w) > 1 and (len(w) <= self.stretch) == short]
+            for k in range(0, len(todo), AT_ONCE):
+                part = todo[k : k + AT_ONCE]
+                offsets = np.cumsum([0, *[len(found[i]) for i in part]], dtype=np.int32)
+                tokens = self.byte_token[np.frombuffer(b"".join([found[i] for i in part]), dtype=np.uint8)]
+                start = pa.table({"word": pa.array(part, pa.int32()), "toks": pa.ListArray.from_arrays(offsets, tokens)})
+                self.db.register("fresh", start)
+                coded = self.db.sql(ENCODE if short else ENCODE_LONG.format(stretch=self.stretch)).to_arrow_table()
+                for word, toks in zip(coded["word"].to_pylist(), coded["toks"].to_pylist()):
+                    out[word] = toks
         return out
 
     def decode_words(self, coded: list[list[int]]) -> list[bytes]:
@@ -186,7 +267,8 @@ def _slices(texts: list[str]) -> Iterator[slice]:
 
 def _digest(batches: Iterator[pd.DataFrame], path: str, pattern: str) -> Iterator[pd.DataFrame]:
     codec = _codec(path, pattern)
-    common.only(codec.words)
+    if common.only(codec.words) is codec.words and not codec.words:
+        codec.parts.clear()
     for batch in batches:
         texts = ["" if t is None else t for t in batch["text"]]
         for at in _slices(texts):

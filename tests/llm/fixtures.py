@@ -3,7 +3,7 @@
 import random
 
 WORDS = "the of alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma".split()
-EXTRA = "k long, print long, row long, word string, blob string, whole boolean, starts string, list int, score double"
+EXTRA = "k long, print long, row long, word string, blob string, whole boolean, starts string, list int, score double, __blob string, __spans string, __whole boolean, __cuts string, __id long, __k string, share long, parts long"
 
 
 def prose(n, seed):
@@ -38,7 +38,7 @@ def texts():
 
 def docs(spark, rows=None):
     rows = texts() if rows is None else rows
-    made = [(i, t, "en", f"s{n % 3}", None if t is None else len(t)) + (n, n, n, "w", None, None, "", n, 0.5) for n, (i, t) in enumerate(rows)]
+    made = [(i, t, "en", f"s{n % 3}", None if t is None else len(t)) + (n, n, n, "w", None, None, "", n, 0.5, "b", None, True, "c", n, "k", n, n) for n, (i, t) in enumerate(rows)]
     return spark.createDataFrame(made, f"doc_id long, text string, lang string, source string, n_chars long, {EXTRA}").repartition(3)
 
 

@@ -1,7 +1,9 @@
 """Packing, byte-level BPE, quality rules, secrets and substring dedup against plain versions."""
 
 import hashlib
+import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from keystrata.llm import bpe, packing, quality_rules, queries, secrets, substrings
+from keystrata.llm.common import fresh, spread_join
 
 
 def sha(data):
@@ -83,16 +86,42 @@ def test_bpe_encode_and_decode(spark, reference):
     assert bpe.decode(spark.createDataFrame([(1, None)], "doc_id long, ids array<int>")).first()["bytes"] == b""
 
 
-def test_bpe_long_word(reference):
+def test_bpe_long_words(reference):
     codec = bpe.Codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    rng = np.random.default_rng(8)
-    words = [b"abcde" * 120, b" the", b"a" * 20_000, b"the" * 500]
+    rng, pick = np.random.default_rng(8), random.Random(8)
+    words = [b"abcde" * 120, b" the", b"a" * 20_000, b"the" * 500, b"", b"x"]
     words += [bytes(rng.choice(list(alphabet), n).tolist()) for alphabet in (b"ab", b"aeinrst", bytes(range(97, 123)), bytes(range(128, 256))) for n in (60, 300, 1500)]
-    assert codec.encode_words(words) == [[codec.ranks[w]] if w in codec.ranks else reference._encode_single_piece(w) for w in words]
+    runs = lambda: pick.choice([b"a" * pick.randrange(1, 90), b"ab" * pick.randrange(1, 60), b"the" * pick.randrange(1, 30), bytes(rng.choice(list(b"aeinrst"), 90).tolist())])
+    words += [b"".join(runs() for _ in range(pick.randrange(2, 20))) for _ in range(30)]
+    words += ["".join(chr(pick.randrange(*span)) for _ in range(30)).encode() for span in ((0x4E00, 0x9FA5), (0xE01, 0xE3B), (0x3041, 0x3096), (0x430, 0x44F)) for _ in range(50)]
+    words += [b"".join(pick.choice(list(codec.ranks)) for _ in range(pick.randrange(2, 90))) for _ in range(100)]
+    want = [[codec.ranks[w]] if w in codec.ranks else reference._encode_single_piece(w) if w else [] for w in words]
+    assert codec.encode_words(words) == want
+    assert codec.encode_words(words) == want  # with parts remembered
+    assert codec.decode_words(want) == words
     codec.lookup({" the", "x" * 100})
     assert list(codec.words) == [" the"]
 
 
+def test_bpe_parts_are_where_no_token_spans():
+    codec = bpe.Codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    rng = np.random.default_rng(9)
+    words = [bytes(rng.integers(97, 123, 40).astype(np.uint8)) for _ in range(200)]
+    for word, parts in zip(words, codec.parts_of(words)):
+        assert b"".join(parts) == word
+        cuts = set(np.cumsum([len(p) for p in parts])[:-1].tolist())
+        spans = [(i, j) for i in range(len(word)) for j in range(i + 2, min(len(word), i + 34) + 1) if word[i:j] in codec.ranks]
+        assert not any(i < c < j for i, j in spans for c in cuts)
+
+
+def test_bpe_is_fast_on_long_words():
+    codec = bpe.Codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    start = time.time()
+    rng = np.random.default_rng(10)
+    codec.encode_words([b"a" * 100_000, bytes(rng.integers(97, 123, 100_000).astype(np.uint8)), bytes(rng.choice(list(b"aeinrst"), 50_000).tolist())])
+    assert time.time() - start < 60
+
+
 # quality rules
 
 
@@ -203,6 +232,55 @@ def test_redaction(spark):
     assert texts_out[7] == "[SECRET]" and "hunter22" not in texts_out[3]
 
 
+def test_running_sums(spark):
+    rng = np.random.default_rng(11)
+    rows = [[int(x) for x in rng.integers(0, 50, n)] for n in (0, 1, 2, 3, 5, 8, 100, 257)]
+    df = spark.createDataFrame([(r,) for r in rows], "a array<int>")
+    got = df.select("a", secrets.running(F.col("a"), lambda x, y: x + y).alias("sums"), secrets.running(F.col("a"), lambda x, y: F.greatest(x, y)).alias("tops")).collect()
+    for r in got:
+        assert r["sums"] == np.cumsum(r["a"]).tolist() and r["tops"] == np.maximum.accumulate(r["a"] or [0])[: len(r["a"])].tolist()
+
+
+def test_many_spans(spark):
+    rng = random.Random(12)
+    parts = [rng.choice([f"{n:032x}", "é" * rng.randrange(1, 40), "token=" + "f" * rng.randrange(6, 60), "😀 plain words", "\n", "AKIA" + "Z" * 20, "x" * 2000]) for n in range(1500)]
+    rows = [(1, "".join(parts)), (2, " ".join(parts)), (3, "secret: " + "a" * 24 + "b" * 3000), (4, "f" * 24)]
+    got = {r["doc_id"]: r for r in secrets.digest(docs(spark, rows)).collect()}
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(docs(spark, rows)).collect()}
+    for i, t in rows:
+        want = base_spans(t)
+        assert got[i]["spans"].split(",") == want
+        out, at = [], 0
+        for _, a, b in (w.split(":") for w in want):
+            if int(a) >= at:
+                out += [t[at : int(a)], "[SECRET]"]
+            at = max(at, int(b))
+        assert clean[i] == "".join(out) + t[at:], i
+
+
+def test_kept_ledger(spark, tmp_path):
+    path = f"file://{tmp_path}/ledger"
+    first = secrets.digest(docs(spark, SECRETS[:4]), path=path)
+    assert first.count() == 4 and spark.read.parquet(path).count() == 4
+    both = secrets.digest(docs(spark, SECRETS), path=path)
+    columns = ["doc_id", "base_sha256", "spans"]
+    assert multiset(both, *columns) == multiset(secrets.digest(docs(spark, SECRETS)), *columns)
+    assert spark.read.parquet(path).count() == len({t or "" for _, t in SECRETS})
+    assert secrets.redact(docs(spark, SECRETS), path=path).count() == len(SECRETS)
+    assert spark.read.parquet(path).count() == len({t or "" for _, t in SECRETS})
+    assert secrets.redact(empty(spark)).count() == 0
+
+
+def test_spread_join(spark):
+    many = spark.createDataFrame([(7 if n % 3 else n, n) for n in range(600)] + [(None, 1)], "k long, n long").repartition(3)
+    few = spark.createDataFrame([(k, f"v{k}") for k in range(0, 600, 2)] + [(7, "a"), (7, "b")], "k long, v string")
+    for how in ("inner", "left"):
+        want = multiset(many.join(few, "k", how), "k", "n", "v")
+        assert multiset(spread_join(many, few, "k", how, part=10, least=5), "k", "n", "v") == want
+        assert multiset(spread_join(many, few, "k", how), "k", "n", "v") == want
+    assert fresh(["A", "b_"], "a", "b", "b") == ["a_", "b", "b__"]
+
+
 def test_secrets_run_no_python(spark):
     plan = secrets.update_ledger(docs(spark))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
