@@ -2,11 +2,14 @@
 
 Vectors get one more component that makes all of them equally long, so that the largest inner product is the smallest
 distance. A bounded sample is split again and again into a few clusters until every cluster is small: the leaves'
-centres are the lists. Every vector goes to the list of its nearest centre and, if it lies near a boundary, to further
-ones whose distance is within a ratio of the least. A query searches the centres by best-first walks on a graph of
-their neighbours that each task holds in memory, and reads the lists whose distance is within a ratio of the nearest.
-Lists are cut into blocks, and the queries of a list into chunks, of bounded size; a task scores one chunk against one
-block and passes on the best of each query. Every vector is indexed.
+centres are the lists, in proportion to the vectors up to a bound. Every vector goes to the list of its nearest centre
+and, if it lies near a boundary, to further ones whose distance is within a ratio of the least. A query searches the
+centres on a graph of their neighbours that each task holds in memory: from the centres found so far, the search goes
+on to the neighbours of all that lie within the ratio of the nearest, and the query reads the lists of these.
+
+Lists that lie near each other share a bucket of bounded size; a longer list has several. Each vector goes to a bucket
+once, with its lists there, and each query likewise. A task reads the vectors of a bucket, then its queries as a
+stream of any length, and passes on the best of each query. Every vector is indexed.
 
 Equal vectors are one entry with their smallest ids: as ties go to smaller ids, no other of them can be in a result.
 
@@ -26,18 +29,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drawn, ship, stage
+from .common import drawn, sent_if_small, ship, spread_join, stage
 
-#: Vectors that fit the centres; vectors of the sample in a leaf at most; lists at most.
-SAMPLE, LEAF, MOST_LISTS = 40_000, 128, 2048
+#: Vectors of the sample in a leaf, and vectors that fit the centres at most; there is a list for each leaf.
+LEAF, SAMPLE = 128, 1 << 18
+#: Leaves at most; where a sample would have more, its leaves are larger.
+MOST_LISTS = 8192
 #: A vector goes to at most COPIES lists, those within CLOSE times its least distance.
-COPIES, CLOSE = 8, 1.2
-#: A query reads the lists within RATIO times the least distance: at least LEAST of all lists, and FEW, and at most MOST.
-RATIO, FEW, LEAST, MOST = 1.15, 32, 0.1, 0.2
-#: Neighbours of a centre in the graph, and the width of the walk.
-DEGREE, BEAM = 24, 128
-#: Vectors in a block of a list, and queries in a chunk.
-BLOCK, CHUNK = 4096, 1024
+COPIES, CLOSE = 2, 1.05
+#: A query reads the lists within RATIO times its least distance.
+RATIO = 1.15
+#: The search goes on from centres within so much more than the ratio; neighbours of a centre in the graph.
+SLACK, DEGREE = 1.1, 24
+#: Vectors in a bucket.
+BUCKET = 8192
 
 
 def usable(vector: Column) -> Column:
@@ -97,6 +102,12 @@ def fit_centres(x: np.ndarray, leaf: int = LEAF, ways: int = 8, seed: int = 5) -
             out.append(part.mean(axis=0))
             continue
         label = _split(part, min(ways, -(-len(part) // leaf)), rng)
+        names, counts = np.unique(label, return_counts=True)
+        small = counts < leaf / 4
+        if small.any() and not small.all():  # too few for a list of their own: they go to the nearest of the others
+            means = np.array([part[label == c].mean(axis=0) for c in names[~small]])
+            lone = np.isin(label, names[small])
+            label[lone] = names[~small][distances(part[lone], means).argmin(axis=1)]
         pieces = [part[label == c] for c in np.unique(label)]
         if len(pieces) == 1:  # cannot be told apart
             out.append(part.mean(axis=0))
@@ -120,93 +131,160 @@ def neighbour_graph(centres: np.ndarray, degree: int = DEGREE) -> np.ndarray:
     return np.concatenate([out, far], axis=1)
 
 
-def walk(x: np.ndarray, centres: np.ndarray, graph: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """Best-first search of many queries at once: the ``beam`` nearest centres found, and their distances, in order."""
+def walk(x: np.ndarray, centres: np.ndarray, graph: np.ndarray, ratio: float, sizes: np.ndarray | None = None, least: int = 0) -> np.ndarray:
+    """For each of some queries, which centres the search found within ``ratio`` times the distance of the nearest.
+
+    Where the lists of these, of ``sizes`` vectors, have fewer than ``least`` together, the next nearest come too.
+
+    All centres within a little more than the ratio of the best so far are opened at once, and their neighbours
+    measured; the search of a query ends when there is none left to open. Whatever the ratio, the nearest is opened."""
     n = len(centres)
-    beam = min(beam, n)
-    start = np.unique(np.linspace(0, n - 1, min(n, beam)).astype(np.int64))
-    seen = np.zeros((len(x), n), dtype=bool)
-    seen[:, start] = True
-    d = distances(x, centres[start])
-    order = d.argsort(axis=1, kind="stable")
-    best, dist = start[order], np.take_along_axis(d, order, axis=1)
-    open_ = np.ones(best.shape, dtype=bool)
-    while open_.any():
-        live = np.flatnonzero(open_.any(axis=1))
-        at = open_[live].argmax(axis=1)
-        open_[live, at] = False
-        near = graph[best[live, at]]
-        fresh = ~seen[live[:, None], near]
-        seen[live[:, None], near] = True
-        gap = np.sqrt(np.maximum(((x[live][:, None, :] - centres[near]) ** 2).sum(axis=2), 0))
-        gap[~fresh] = np.inf
-        # a centre may stand twice among the neighbours
-        for j in range(1, near.shape[1]):
-            gap[(near[:, :j] == near[:, j : j + 1]).any(axis=1), j] = np.inf
-        every_d = np.concatenate([dist[live], gap], axis=1)
-        every_c = np.concatenate([best[live], near], axis=1)
-        every_o = np.concatenate([open_[live], np.isfinite(gap)], axis=1)
-        order = every_d.argsort(axis=1, kind="stable")[:, : best.shape[1]]
-        dist[live] = np.take_along_axis(every_d, order, axis=1)
-        best[live] = np.take_along_axis(every_c, order, axis=1)
-        open_[live] = np.take_along_axis(every_o, order, axis=1)
-    return best, dist
-
-
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.array(column.tolist(), dtype=np.float64)
+    start = np.unique(np.linspace(0, n - 1, min(n, 64)).astype(np.int64))
+    dist = np.full((len(x), n), np.inf, dtype=np.float32)
+    dist[:, start] = distances(x, centres[start])
+    opened = np.zeros(dist.shape, dtype=bool)
+    lengths, own = (centres**2).sum(axis=1), (x**2).sum(axis=1)
+    while True:
+        row, col = np.nonzero((dist <= SLACK * ratio * dist.min(axis=1, keepdims=True) + 1e-6) & ~opened)
+        if not len(row):
+            break
+        opened[row, col] = True
+        reached = np.zeros(dist.shape, dtype=bool)
+        reached[row[:, None], graph[col]] = True
+        row, col = np.nonzero(reached & np.isinf(dist))
+        for i in range(0, len(row), 1 << 17):
+            r, c = row[i : i + (1 << 17)], col[i : i + (1 << 17)]
+            dist[r, c] = np.sqrt(np.maximum(own[r] + lengths[c] - 2 * np.einsum("ij,ij->i", x[r], centres[c]), 0))
+    use = dist <= ratio * dist.min(axis=1, keepdims=True) + 1e-6
+    if least:
+        short = np.flatnonzero(use @ sizes < min(least, sizes.sum()))
+        order = distances(x[short], centres).argsort(axis=1, kind="stable")
+        before = np.cumsum(sizes[order], axis=1) - sizes[order]
+        more = np.zeros((len(short), n), dtype=bool)
+        np.put_along_axis(more, order, before < least, axis=1)
+        use[short] |= more
+    return use
+
+
+def _matrix(column: pd.Series, kind=np.float64) -> np.ndarray:
+    return np.stack(column.to_numpy()).astype(kind, copy=False) if len(column) else np.empty((0, 0), dtype=kind)
+
+
+def _with_lists(part: pd.DataFrame, use: np.ndarray) -> pd.DataFrame:
+    row, col = np.nonzero(use)
+    out = part.copy()
+    out["lists"] = np.split(col.astype("int32"), np.searchsorted(row, np.arange(1, len(part))))
+    return out
 
 
 def _assign(batches: Iterator[pd.DataFrame], centres: np.ndarray, longest: float, copies: int, close: float) -> Iterator[pd.DataFrame]:
     """Each vector with the lists it goes to."""
     for batch in batches:
-        for i in range(0, len(batch), 2048):
-            part = batch.iloc[i : i + 2048]
-            x = lift(_matrix(part["vector"]), longest)
-            d = distances(x, centres)
+        for i in range(0, len(batch), 512):
+            part = batch.iloc[i : i + 512]
+            d = distances(lift(_matrix(part["vector"]), longest), centres)
             many = min(copies, len(centres))
             near = np.argpartition(d, many - 1, axis=1)[:, :many]
             gap = np.take_along_axis(d, near, axis=1)
-            row, col = np.nonzero(gap <= close * gap.min(axis=1, keepdims=True) + 1e-9)
-            out = part.iloc[row].copy()
-            out["list"] = near[row, col].astype("int32")
-            yield out
+            use = np.zeros(d.shape, dtype=bool)
+            np.put_along_axis(use, near, gap <= close * gap.min(axis=1, keepdims=True) + 1e-6, axis=1)
+            yield _with_lists(part, use)
 
 
-def _probe(batches: Iterator[pd.DataFrame], centres: np.ndarray, graph: np.ndarray, longest: float, ratio: float, least: int, most: int) -> Iterator[pd.DataFrame]:
+def _probe(batches: Iterator[pd.DataFrame], centres: np.ndarray, graph: np.ndarray, longest: float, ratio: float, sizes: np.ndarray, least: int) -> Iterator[pd.DataFrame]:
     """Each query with the lists it reads."""
     for batch in batches:
-        for i in range(0, len(batch), 512):
-            part = batch.iloc[i : i + 512]
+        for i in range(0, len(batch), 256):
+            part = batch.iloc[i : i + 256]
             v = _matrix(part["vector"])
             # a query's length changes no order: it is made that of the lifted vectors, and the component added is zero
-            v *= longest / np.sqrt((v**2).sum(axis=1, keepdims=True))
+            v = v * (longest / np.sqrt((v**2).sum(axis=1, keepdims=True)))
             x = np.concatenate([v, np.zeros((len(v), 1))], axis=1).astype(np.float32)
-            best, dist = walk(x, centres, graph, max(BEAM, most + most // 4))
-            best, dist = best[:, :most], dist[:, :most]
-            use = (dist <= ratio * dist[:, :1] + 1e-9) | (np.arange(best.shape[1]) < least)[None, :]
-            row, col = np.nonzero(use)
-            out = part.iloc[row].copy()
-            out["list"] = best[row, col].astype("int32")
-            yield out
-
-
-def _score(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The best ``k + 1`` entries of a block for each query of a chunk."""
-    if not len(left) or not len(right):
-        return pd.DataFrame({"qid": np.array([], "int64"), "gid": np.array([], "int64"), "score": np.array([], "float64")})
-    right = right.sort_values("gid")
-    q, x, gid = _matrix(left["vector"]), _matrix(right["vector"]), right["gid"].to_numpy("int64")
-    many, out = min(k + 1, len(x)), []
-    for i in range(0, len(q), 256):
-        s = q[i : i + 256] @ x.T
-        # all entries as good as the last that is wanted stay, so that ties are settled by id later
-        last = np.partition(s, len(x) - many, axis=1)[:, len(x) - many]
-        row, col = np.nonzero(s >= last[:, None] - 1e-9 * np.abs(last[:, None]))
-        out.append((left["gid"].to_numpy("int64")[i + row], gid[col], np.einsum("ij,ij->i", q[i + row], x[col])))
-    frame = pd.DataFrame({n: np.concatenate([o[j] for o in out]) for j, n in enumerate(("qid", "gid", "score"))})
-    frame = frame.sort_values(["qid", "score", "gid"], ascending=[True, False, True], kind="stable")
-    return frame.groupby("qid").head(k + 1)
+            yield _with_lists(part, walk(x, centres, graph, ratio, sizes, least))
+
+
+class _Bucket:
+    """The vectors of a bucket: those of one list stand together, in the order of their ids."""
+
+    def __init__(self, frame: pd.DataFrame):
+        x, gid = _matrix(frame["vector"]), frame["gid"].to_numpy("int64")
+        row = np.repeat(np.arange(len(frame)), frame["lists"].map(len).to_numpy())
+        name = np.concatenate(frame["lists"].to_numpy())
+        order = np.lexsort((gid[row], name))
+        self.names, first = np.unique(name[order], return_index=True)
+        self.members = np.split(row[order], first[1:])
+        self.x, self.gid = x, gid
+
+    def best(self, queries: pd.DataFrame, k: int) -> pd.DataFrame:
+        """The best ``k + 1`` vectors of the lists that each query reads here."""
+        q, qid = _matrix(queries["vector"]), queries["gid"].to_numpy("int64")
+        row = np.repeat(np.arange(len(queries)), queries["lists"].map(len).to_numpy())
+        name = np.concatenate(queries["lists"].to_numpy())
+        order = np.argsort(name, kind="stable")
+        names, first = np.unique(name[order], return_index=True)
+        who, which, how = [], [], []
+        for one, rows in zip(names, np.split(row[order], first[1:])):
+            at = np.searchsorted(self.names, one)
+            if at == len(self.names) or self.names[at] != one:
+                continue
+            own = self.members[at]
+            s = q[rows] @ self.x[own].T
+            many = min(k + 1, len(own))
+            # all as good as the last that is wanted stay, so that ties are settled by id later
+            last = np.partition(s, len(own) - many, axis=1)[:, len(own) - many]
+            r, c = np.nonzero(s >= last[:, None] - 1e-9 * np.abs(last[:, None]))
+            who.append(rows[r]), which.append(own[c]), how.append(s[r, c])
+        if not who:
+            return pd.DataFrame({"qid": np.array([], "int64"), "gid": np.array([], "int64"), "score": np.array([], "float64")})
+        who, which, how = map(np.concatenate, (who, which, how))
+        # a vector may stand in several lists; near the last place its score decides, so a few more than wanted stay
+        order = np.lexsort((self.gid[which], -how, who))
+        who, which = who[order], which[order]
+        new = np.ones(len(who), dtype=bool)
+        pair = who * np.int64(len(self.gid)) + which
+        new[np.setdiff1d(np.arange(len(pair)), np.unique(pair, return_index=True)[1])] = False
+        who, which = who[new], which[new]
+        nth = np.arange(len(who)) - np.searchsorted(who, who)
+        keep = nth < 2 * (k + 1)
+        who, which = who[keep], which[keep]
+        score = np.einsum("ij,ij->i", q[who], self.x[which])
+        order = np.lexsort((self.gid[which], -score, who))
+        who, which, score = who[order], which[order], score[order]
+        keep = np.arange(len(who)) - np.searchsorted(who, who) < k + 1
+        return pd.DataFrame({"qid": qid[who[keep]], "gid": self.gid[which[keep]], "score": score[keep]})
+
+
+def _stream(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
+    """Buckets one after the other, each with its vectors first and then its queries."""
+    now, held, bucket = None, [], None
+    for batch in batches:
+        change = np.flatnonzero(np.diff(batch["bucket"].to_numpy()) | np.diff(batch["asks"].to_numpy("int8"))) + 1
+        for part in np.split(np.arange(len(batch)), change):
+            rows = batch.iloc[part]
+            if rows["bucket"].iloc[0] != now:
+                now, held, bucket = rows["bucket"].iloc[0], [], None
+            if not rows["asks"].iloc[0]:
+                held.append(rows)
+                continue
+            if bucket is None and held:
+                bucket, held = _Bucket(pd.concat(held)), []
+            if bucket is not None:
+                yield bucket.best(rows, k)
+
+
+def _buckets(sizes: list[int]) -> tuple[list[int], list[int]]:
+    """The first bucket of each list, and how many it has; neighbouring short lists share one."""
+    first, parts, at, filled = [], [], 0, 0
+    for size in sizes:
+        if filled and filled + size > BUCKET:
+            at, filled = at + 1, 0
+        first.append(at)
+        parts.append(max(1, -(-size // BUCKET)))
+        if parts[-1] > 1:
+            at += parts[-1]
+        else:
+            filled += size
+    return first, parts
 
 
 def search(vectors: DataFrame, queries: Column, k: int = 20, ratio: float = RATIO) -> DataFrame:
@@ -215,50 +293,57 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, ratio: float = RATI
     spark = vectors.sparkSession
     ship(spark)
     index = stage(entries(vectors, k), "entries")
-    size = index.count()
+    size, longest = index.agg(F.count(F.lit(1)), F.max(F.aggregate("vector", F.lit(0.0), lambda t, x: t + x.cast("double") * x))).first()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not size:
         return empty
-    longest = index.agg(F.max(F.aggregate("vector", F.lit(0.0), lambda t, x: t + x.cast("double") * x))).first()[0] ** 0.5
-    sample = index.select("gid", "vector").where(drawn(F.col("gid"), SAMPLE, size)).orderBy(F.xxhash64("gid"), "gid").limit(SAMPLE).toPandas()
-    x = lift(_matrix(sample["vector"]), longest)
-    leaf = max(LEAF, -(-2 * len(x) // MOST_LISTS))
-    centres = fit_centres(x, leaf)
+    longest = longest**0.5
+    sample = index.select("gid", "vector").where(drawn(F.col("gid"), SAMPLE, size)).orderBy(F.xxhash64("gid"), "gid").limit(SAMPLE).select("vector").toArrow()
+    flat = sample.column("vector").combine_chunks()
+    x = lift(np.asarray(flat.values, dtype=np.float32).reshape(len(flat), -1), longest)
+    centres = fit_centres(x, max(LEAF, -(-2 * len(x) // MOST_LISTS)))
     graph = neighbour_graph(centres)
-    rows = f"gid long, vector {dict(index.dtypes)['vector']}, list int"
+    rows = f"gid long, vector {dict(index.dtypes)['vector']}, lists array<int>"
 
-    posted = index.select("gid", "vector").mapInPandas(
-        functools.partial(_assign, centres=centres, longest=longest, copies=COPIES, close=CLOSE), rows
-    )
+    posted = index.select("gid", "vector").mapInPandas(functools.partial(_assign, centres=centres, longest=longest, copies=COPIES, close=CLOSE), rows)
     posted = stage(posted, "posted")
     asked = vectors.where(queries).select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").alias("vector"))
     asked = asked.where(usable(F.col("vector"))).distinct().join(index.select("gid", "vector"), "vector").select("query_id", F.col("gid").alias("qid"))
     asked = stage(asked, "asked")
     wanted = index.join(asked.select(F.col("qid").alias("gid")).distinct(), "gid", "left_semi").select("gid", "vector")
-    probed = wanted.mapInPandas(
-        functools.partial(_probe, centres=centres, graph=graph, longest=longest, ratio=ratio, least=max(FEW, round(LEAST * len(centres))), most=max(2 * FEW, round(MOST * len(centres)))), rows
-    )
-    probed = stage(probed, "probed")
-
-    # sizes of the lists and of their queries: one row for each list, at most MOST_LISTS or so
-    blocks = posted.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    chunks = probed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
-    shape = F.broadcast(blocks.join(chunks, "list"))
-    own = lambda n: F.pmod(F.xxhash64("gid"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = probed.join(shape, "list").select("list", "gid", "vector", own("chunks").alias("chunk"), every("blocks").alias("block"))
-    right = posted.join(shape, "list").select("list", "gid", "vector", own("blocks").alias("block"), every("chunks").alias("chunk"))
-    keys = ["list", "block", "chunk"]
-
-    def score(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return _score(a, b, k)
-
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, "qid long, gid long, score double")
+
+    # one row for each list, at most twice MOST_LISTS or so
+    sizes = np.zeros(len(centres), dtype=np.int64)
+    for r in posted.select(F.explode("lists").alias("list")).groupBy("list").count().collect():
+        sizes[r["list"]] = r["count"]
+    first, parts = (F.lit(x) for x in _buckets(sizes.tolist()))
+    # a vector is in COPIES lists at most, so these hold k + 1 different ones
+    probe = functools.partial(_probe, centres=centres, graph=graph, longest=longest, ratio=ratio, sizes=sizes, least=COPIES * (k + 1))
+    probed = wanted.mapInPandas(probe, rows)
+
+    def dealt(df: DataFrame, places, asks: bool) -> DataFrame:
+        """Rows by bucket with their lists there; ``places`` gives the buckets of a list."""
+        pairs = F.flatten(F.transform("lists", lambda l: F.transform(places(l), lambda b: F.struct(b.alias("b"), l.alias("l")))))
+        df = df.select("gid", "vector", pairs.alias("pairs"))
+        df = df.select("gid", "vector", "pairs", F.explode(F.array_distinct(F.col("pairs.b"))).alias("bucket"))
+        own = F.transform(F.filter("pairs", lambda p: p["b"] == F.col("bucket")), lambda p: p["l"])
+        return df.select("bucket", F.lit(asks).alias("asks"), "gid", "vector", own.alias("lists"))
+
+    one = lambda l: F.array(F.get(first, l) + F.pmod(F.xxhash64("gid"), F.get(parts, l)).cast("int"))
+    every = lambda l: F.sequence(F.get(first, l), F.get(first, l) + F.get(parts, l) - 1)
+    both = dealt(posted, one, False).unionByName(dealt(probed, every, True)).repartition("bucket").sortWithinPartitions("bucket", "asks")
+    found = both.mapInPandas(functools.partial(_stream, k=k), "qid long, gid long, score double")
+
+    # a vector found in several buckets has one score but for rounding: the largest stands
+    found = found.repartition("qid").groupBy("qid", "gid").agg(F.max("score").alias("score"))
+    best = Window.partitionBy("qid").orderBy(F.desc("score"), "gid")
+    found = stage(found.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k + 1).drop("nth"), "found")
+    copies = stage(index.where(F.size("ids") > 1).select("gid", "ids"), "copies")
+    found = spread_join(found, sent_if_small(copies, 16 + 8 * F.size("ids")), "gid", "left")
+    found = found.select("qid", "score", F.explode(F.coalesce("ids", F.array("gid"))).alias("vec_id"))
+    # of equal vectors the smaller ids come first
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
-    # an entry found in several lists has one score but for rounding: the largest stands
-    found = found.groupBy("qid", "gid").agg(F.max("score").alias("score"))
-    found = found.join(index.select("gid", "ids"), "gid").select("qid", "score", F.explode("ids").alias("vec_id"))
     found = found.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k + 1).drop("nth")
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    out = asked.join(found, "qid").where("vec_id <> query_id").withColumn("rank", F.row_number().over(rank))
+    out = spread_join(asked, stage(found, "nearest"), "qid").where("vec_id <> query_id").withColumn("rank", F.row_number().over(rank))
     return out.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
