@@ -144,18 +144,22 @@ def fresh(columns: list[str], *names: str) -> list[str]:
 HOT_PART, HOT_LEAST = 1000, 20_000
 
 
-def spread_join(many: DataFrame, few: DataFrame, on: str | list[str], how: str = "inner", part: int = HOT_PART, least: int = HOT_LEAST) -> DataFrame:
+def spread_join(
+    many: DataFrame, few: DataFrame, on: str | list[str], how: str = "inner", counts: DataFrame | None = None, part: int = HOT_PART, least: int = HOT_LEAST
+) -> DataFrame:
     """``many.join(few, on, how)``, with the rows of hot keys of ``many`` dealt over several tasks.
 
     Fewer than ``part`` keys can each hold more than the part of all rows, so these keys, and nothing else, come to
     the driver and go to all tasks. Their rows are dealt by a hash of all columns, and their rows of ``few`` are
-    repeated for every share. ``many`` should be staged: it is read to be measured. ``how`` is inner or left."""
+    repeated for every share. ``counts`` has the rows ``n`` of each key of ``many``; without it ``many`` is read to be
+    measured and should be staged. ``how`` is inner or left."""
     on = [on] if isinstance(on, str) else list(on)
-    total = many.count()
+    total = many.count() if counts is None else counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     limit = max(least, total // part)
     if total <= limit:
         return many.join(few, on, how)
-    hot = many.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).collect()
+    counts = many.groupBy(*on).agg(F.count(F.lit(1)).alias("n")) if counts is None else counts
+    hot = counts.where(F.col("n") > limit).select(*on, "n").collect()
     if not hot:
         return many.join(few, on, how)
     n, share = fresh([*many.columns, *few.columns], "parts", "share")

@@ -40,7 +40,7 @@ COPIES, CLOSE = 2, 1.05
 #: A query reads the lists within RATIO times its least distance.
 RATIO = 1.15
 #: The search goes on from centres within so much more than the ratio; neighbours of a centre in the graph.
-SLACK, DEGREE = 1.1, 24
+SLACK, DEGREE = 1.2, 24
 #: Vectors in a bucket.
 BUCKET = 8192
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, ship, stage
+from .common import connected_components, ship, spread_join, stage
 
 BITS, RADIUS, SEED = 64, 3, 42
 #: Buckets of up to so many fingerprints are compared pair by pair.
@@ -133,13 +133,13 @@ def links(prints: DataFrame, radius: int = RADIUS, small: int = SMALL_BUCKET) ->
 
 def groups(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``(doc_id, print, component_id)`` for ``prints(doc_id, print)``, which is read twice."""
-    distinct = stage(prints.groupBy("print").agg(F.min("doc_id").alias("first")), "prints")
+    distinct = stage(prints.groupBy("print").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "prints")
     roots = connected_components(links(distinct, radius), "simhash")
     labelled = distinct.join(roots, F.col("print") == F.col("u"), "left").select("print", "first", F.coalesce("root", "print").alias("root"))
     labelled = stage(labelled, "labelled")
     least = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
     of_print = labelled.join(least, "root").select("print", "component_id")
-    return prints.join(of_print, "print").select("doc_id", "print", "component_id")
+    return spread_join(prints, of_print, "print", counts=distinct).select("doc_id", "print", "component_id")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = RADIUS) -> DataFrame:

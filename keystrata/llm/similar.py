@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, drawn, only, sent_if_small, ship, stage, unstage
+from .common import connected_components, drawn, fresh, only, sent_if_small, ship, spread_join, stage, unstage
 from .simhash import RADIUS, fingerprint_of, links
 from .substrings import BASES, NO_ID, _hashes, least_of_runs, mix, rolling, word_hashes
 
@@ -41,6 +41,8 @@ RUN, FEW = 32, 4
 SALTS, SHARED = (1, 2, 3, 4), 0.25
 #: Sets drawn (about three times as many) to tell which shingles come last, and how many of these are told at most.
 DRAWN, FREQUENT = 1000, 100_000
+#: Pairs of one set that a task compares before they are dealt over several.
+HUB = 1000
 #: Groups that meet at a shingle for each of the parts that they are dealt into, and these parts at most.
 MET, PARTS = 64, 64
 
@@ -137,8 +139,8 @@ def candidates(speakers: DataFrame) -> DataFrame:
     orders = [F.col("id"), *[F.xxhash64("name", F.lit(salt)) for salt in SALTS]]
     first = [F.min(F.struct(o.alias("o"), "name", "n")).alias(f"h{i}") for i, o in enumerate(orders)]
     hubs = rows.groupBy("g").agg(F.count(F.lit(1)).alias("c"), *first).where("c > 1")
-    hubs = stage(hubs.select("g", F.array_distinct(F.array(*[F.col(f"h{i}").dropFields("o") for i in range(len(orders))])).alias("hubs")), "hubs")
-    met = rows.join(hubs, "g").select("name", "n", F.explode("hubs").alias("hub")).where(F.col("name") != F.col("hub.name"))
+    hubs = stage(hubs.select("g", F.array_distinct(F.array(*[F.col(f"h{i}").dropFields("o") for i in range(len(orders))])).alias("hubs"), F.col("c").alias("n")), "hubs")
+    met = spread_join(rows, hubs.drop("n"), "g", counts=hubs).select("name", "n", F.explode("hubs").alias("hub")).where(F.col("name") != F.col("hub.name"))
     pair = met.select(F.least("name", "hub.name").alias("u"), F.greatest("name", "hub.name").alias("v"), F.greatest("n", "hub.n").alias("most"), (F.col("name") < F.col("hub.name")).alias("side"))
     # a pair in which each is the other's hub counts the shingles twice, once for each side
     counts = pair.groupBy("u", "v", "most", "side").count().groupBy("u", "v", "most").agg(F.max("count").alias("shared"))
@@ -180,14 +182,17 @@ def missing_candidates(docs: DataFrame, survey: DataFrame, speakers: DataFrame,
     roots = sent_if_small(stage(roots, "roots"), 24)
     rows = prefixes.join(roots, F.col("name") == F.col("u"), "left").select("name", F.coalesce("root", "name").alias("root"), "n", "rest", "last", F.explode("prefix").alias("g"))
     # a shingle within one group brings nothing
-    shared = rows.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("g")
-    shared = sent_if_small(stage(shared, "shared"), 24)
-    met = stage(rows.join(shared, "g").dropDuplicates(["g", "name"]), "met")
+    shared = rows.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high").select("g", "n")
+    shared = stage(shared, "shared")
+    sent = sent_if_small(shared.select("g"), 24)
+    met = stage(spread_join(rows, sent, "g", counts=shared).dropDuplicates(["g", "name"]), "met")
     unstage(prefixes)
     # groups meet first, so that the members of one group never meet; where many do, they are dealt into parts
     heads = met.groupBy("g", "root").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    parts = heads.groupBy("g").count().select("g", F.least(F.lit(PARTS), F.ceil(F.col("count") / MET)).cast("int").alias("parts"))
-    heads = stage(heads.join(parts, "g"), "met-groups")
+    heads = stage(heads, "met-heads")
+    parts = heads.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    parts = stage(parts.select("g", "n", F.least(F.lit(PARTS), F.ceil(F.col("n") / MET)).cast("int").alias("parts")), "met-parts")
+    heads = spread_join(heads, parts.drop("n"), "g", counts=parts)
     a = heads.select("g", F.pmod(F.xxhash64("root"), "parts").cast("int").alias("part"), F.col("root").alias("ra"), F.col("low").alias("la"), F.col("high").alias("ha"))
     b = heads.select("g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("root").alias("rb"), F.col("low").alias("lb"), F.col("high").alias("hb"))
     near = (F.col("ha") >= similarity * F.col("lb") - 1e-6) & (F.col("hb") >= similarity * F.col("la") - 1e-6)
@@ -211,7 +216,10 @@ def similar_links(docs: DataFrame, speakers: DataFrame, pairs: DataFrame, width:
     texts = _keyed(docs)
     texts = texts.join(ids, _same_row(texts, ids)).select("name", "text")
     sets = stage(texts.mapInPandas(functools.partial(_sets, width=width), "name long, shingles array<long>").dropDuplicates(["name"]), "sets")
-    both = pairs.join(sets.select(F.col("name").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("name").alias("v"), F.col("shingles").alias("b")), "v")
+    # a hub of a large group stands in many pairs, on either side
+    often = [stage(pairs.groupBy(side).agg(F.count(F.lit(1)).alias("n")), "often") for side in ("u", "v")]
+    both = spread_join(pairs, sets.select(F.col("name").alias("u"), F.col("shingles").alias("a")), "u", counts=often[0], least=HUB)
+    both = spread_join(both, sets.select(F.col("name").alias("v"), F.col("shingles").alias("b")), "v", counts=often[1], least=HUB)
     common = F.size(F.array_intersect("a", "b"))
     # texts without words have empty sets and are alike
     return both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v")
@@ -242,7 +250,8 @@ def one_of_each(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILAR
     again = survey.groupBy("doc_id", "k").count().where("count > 1")
     if again.isEmpty():
         return kept
-    return kept.withColumn("__k", F.xxhash64("text")).dropDuplicates(["doc_id", "__k"]).drop("__k")
+    (k,) = fresh(docs.columns, "k")
+    return kept.withColumn(k, F.xxhash64("text")).dropDuplicates(["doc_id", k]).drop(k)
 
 
 def _speakers(survey: DataFrame, first: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, sent_if_small, ship, stage
+from .common import fresh, only, sent_if_small, ship, spread_join, stage
 from .quality_rules import let
 
 #: Words in a window, and words in the shorter sequences that find the windows worth naming.
@@ -180,15 +180,15 @@ def repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) -> tuple[
     copies = stage(long.select("doc_id", "k", "c1", "c2").join(first, ["c1", "c2"]).where("doc_id > first").select("doc_id", "k").distinct(), "copies")
     anchors = long.join(copies, ["doc_id", "k"], "left_anti").select("doc_id", "k", F.explode("anchors").alias("a"))
     # an anchor of one id only is no repeat across rows
-    shared = anchors.groupBy("a").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-    shared = stage(shared.select("a"), "shared")
-    wanted = stage(anchors.join(shared, "a").groupBy("doc_id", "k").agg(F.collect_set("a").alias("shared")), "wanted")
+    shared = anchors.groupBy("a").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
+    shared = stage(shared.select("a", "n"), "shared")
+    wanted = stage(spread_join(anchors, shared.select("a"), "a", counts=shared).groupBy("doc_id", "k").agg(F.collect_set("a").alias("shared")), "wanted")
     candidates = stage(rows.join(sent_if_small(wanted, 32 + 8 * F.size("shared")), ["doc_id", "k"]), "candidates")
     windows = candidates.mapInPandas(functools.partial(_windows, width=width, anchor=anchor), "h1 long, h2 long, doc_id long, k long, at int")
     windows = stage(windows, "windows")
-    least = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-    least = stage(least.select("h1", "h2", "lo"), "least")
-    gone = windows.join(least, ["h1", "h2"]).where("doc_id > lo").groupBy("doc_id", "k").agg(F.sort_array(F.collect_set("at")).alias("starts"))
+    least = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
+    least = stage(least.select("h1", "h2", "lo", "n"), "least")
+    gone = spread_join(windows, least.drop("n"), ["h1", "h2"], counts=least).where("doc_id > lo").groupBy("doc_id", "k").agg(F.sort_array(F.collect_set("at")).alias("starts"))
     gone = stage(gone.select("doc_id", "k", let(F.col("starts"), lambda s: merged(s, width)).alias("cuts")), "gone")
     return survey.select("doc_id", "k", "n_words", "kept_sha256"), copies, candidates.select("doc_id", "k", "text"), gone
 
@@ -241,31 +241,33 @@ def cut_text(text: str, covered: list[tuple[int, int]]) -> str:
     return "".join(out)
 
 
-def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _remove(batches: Iterator[pa.RecordBatch], whole: str, cuts: str) -> Iterator[pa.RecordBatch]:
     only(_hashes)
     for batch in batches:
         place = batch.schema.get_field_index("text")
         texts = []
-        for text, whole, cuts in zip(*(batch.column(c).to_pylist() for c in ("text", "__whole", "__cuts"))):
-            if text is not None and whole:
+        for text, every, some in zip(*(batch.column(c).to_pylist() for c in ("text", whole, cuts))):
+            if text is not None and every:
                 text = cut_text(text, [(0, len(encoded(text).split()))])
-            elif text is not None and cuts is not None:
-                text = cut_text(text, cuts)
+            elif text is not None and some is not None:
+                text = cut_text(text, some)
             texts.append(text)
         out = batch.set_column(place, batch.schema.field(place), pa.array(texts, batch.schema.field(place).type))
-        yield out.drop_columns(["__whole", "__cuts"])
+        yield out.drop_columns([whole, cuts])
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) -> DataFrame:
-    """``docs`` with the repeated words cut out of ``text``; all columns stay."""
+    """``docs`` with the repeated words cut out of ``text``; all columns stay, whatever their names."""
+    whole, cuts, i, k = fresh(docs.columns, "whole", "cuts", "id", "key")
     _, copies, _, gone = repeats(docs, width, anchor)
     none = F.lit(None).cast("array<array<int>>")
-    marks = gone.select("doc_id", "k", F.lit(False).alias("__whole"), F.col("cuts").alias("__cuts"))
-    marks = marks.unionByName(copies.select("doc_id", "k", F.lit(True).alias("__whole"), none.alias("__cuts")))
-    marks = sent_if_small(stage(marks.withColumnsRenamed({"doc_id": "__id", "k": "__k"}), "marks"), 32 + 32 * F.coalesce(F.size("__cuts"), F.lit(0)))
-    match = (F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == marks["__id"]) & (F.xxhash64(docs["text"]) == marks["__k"])
-    marked = docs.join(marks, match, "left").drop("__id", "__k")
-    return marked.mapInArrow(_remove, docs.schema)
+    ids = [F.col("doc_id").alias(i), F.col("k").alias(k)]
+    marks = gone.select(*ids, F.lit(False).alias(whole), F.col("cuts").alias(cuts))
+    marks = marks.unionByName(copies.select(*ids, F.lit(True).alias(whole), none.alias(cuts)))
+    marks = sent_if_small(stage(marks, "marks"), 32 + 32 * F.coalesce(F.size(cuts), F.lit(0)))
+    match = (F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == marks[i]) & (F.xxhash64(docs["text"]) == marks[k])
+    marked = docs.join(marks, match, "left").drop(i, k)
+    return marked.mapInArrow(functools.partial(_remove, whole=whole, cuts=cuts), docs.schema)
 
 
 #: ``digest`` in DuckDB: windows as strings, counted by a window function.

@@ -1,5 +1,6 @@
 """SimHash groups, neighbours, byte models, language and quality classifiers, and the pipeline."""
 
+import functools
 import math
 import random
 import zlib
@@ -13,7 +14,7 @@ from fixtures import docs, empty, prose, texts
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from keystrata.llm import classifier, language, neighbours, scoring, similar, simhash
+from keystrata.llm import classifier, common, language, neighbours, scoring, similar, simhash
 from keystrata.llm.common import connected_components, crc_mod, crc_mod_py
 
 # SimHash
@@ -101,6 +102,27 @@ def test_one_of_each(spark):
     assert {7, 8, 10, 11, 12, 15, 16} <= set(ids)
 
 
+def test_one_of_each_keeps_columns_that_clash(spark):
+    rows = [(1, prose(30, 1)), (1, prose(30, 1)), (2, prose(30, 2)), (None, prose(30, 3))]
+    source = docs(spark, rows)
+    out = similar.one_of_each(source)
+    assert out.columns == source.columns and out.count() == 3
+    assert {r["__k"] for r in out.select("__k").collect()} == {"k"}
+
+
+def test_hot_keys_are_dealt(spark, monkeypatch):
+    # every key with more than a few rows is hot: results stay the same
+    monkeypatch.setattr(common.spread_join, "__defaults__", ("inner", None, 1000, 2))
+    monkeypatch.setattr(similar, "HUB", 2)
+    test_simhash(spark)
+    base = prose(300, 1).split()
+    rows = [(n, " ".join(base[:n] + ["x"] + base[n:])) for n in range(60)] + [(100 + n, prose(200, 40 + n)) for n in range(10)]
+    assert {r["doc_id"] for r in similar.one_of_each(docs(spark, rows)).collect()} == {0, *range(100, 110)}
+    edges = [(0, i) for i in range(1, 50)] + [(60, 61)]
+    got = {r["u"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {i: 0 for i in range(50)} | {60: 60, 61: 60}
+
+
 def test_one_of_each_against_all_pairs(spark):
     rng = random.Random(9)
     rows = []
@@ -233,7 +255,7 @@ def test_walk_finds_the_nearest_centres(ratio):
     got = neighbours.walk(x, centres, neighbours.neighbour_graph(centres), ratio)
     d = neighbours.distances(x, centres)
     want = d <= ratio * d.min(axis=1, keepdims=True) + 1e-6
-    assert (got & want).sum() >= 0.97 * want.sum() and got.any(axis=1).all()
+    assert (got & want).sum() > 0.95 * want.sum() and got.any(axis=1).all()
 
 
 def test_buckets():
@@ -255,69 +277,110 @@ def test_kt_and_gamma():
     assert np.isclose(scoring.log_block(np.array([a]), np.array([b]))[0], sequential)
 
 
-def plain_tree(train, text, depth):
-    """The model by its definition: nodes in dictionaries, mixed by recursion."""
+def plain_tree(train, depth):
+    """The model by its definition: nodes in dictionaries, mixed by recursion. ``train`` gives each text its number.
+    Returns a function that scores a text."""
     counts = Counter()
     symbols = lambda t: bytes(depth) + t + b"\xff"
-    for t in train:
+    for t, n in train.items():
         s = symbols(t)
         for i in range(depth, len(s)):
             for j in range(8):
                 for d in range(depth + 1):
-                    counts[(s[i - d : i], j, s[i] >> (8 - j), s[i] >> (7 - j) & 1)] += 1
+                    counts[(s[i - d : i], j, s[i] >> (8 - j), s[i] >> (7 - j) & 1)] += n
     kids = {}
     for context, j, bits, _ in counts:
         kids.setdefault((context, j, bits), set())
         if context:
             kids.setdefault((context[1:], j, bits), set()).add(context)
-    pe = lambda n: float(scoring.log_block(np.array([counts[(*n, 0)]]), np.array([counts[(*n, 1)]]))[0])
-    memo = {}
+    pe = functools.cache(lambda n: float(scoring.log_block(np.array([counts[(*n, 0)]]), np.array([counts[(*n, 1)]]))[0]))
+
+    @functools.cache
+    def parts(n):
+        """log of the node's own half of the mixture, and of its children's."""
+        return math.log(0.5) + pe(n), math.log(0.5) + sum(weighted((c, n[1], n[2])) for c in kids[n])
 
     def weighted(n):
-        if n not in memo:
-            memo[n] = pe(n) if len(n[0]) == depth else float(np.logaddexp(math.log(0.5) + pe(n), math.log(0.5) + sum(weighted((c, n[1], n[2])) for c in kids[n])))
-        return memo[n]
+        return pe(n) if len(n[0]) == depth else float(np.logaddexp(*parts(n)))
 
-    def predict(s, i, j, d):
+    def predict(s, i, j, d, bit):
         n = (s[i - d : i], j, s[i] >> (8 - j))
         if n not in kids:
             return None
-        one = (counts[(*n, 1)] + 0.5) / (counts[(*n, 0)] + counts[(*n, 1)] + 1)
-        below = predict(s, i, j, d + 1) if d < depth else None
+        own = (counts[(*n, bit)] + 0.5) / (counts[(*n, 0)] + counts[(*n, 1)] + 1)
+        below = predict(s, i, j, d + 1, bit) if d < depth else None
         if below is None:
-            return one
-        w = math.exp(math.log(0.5) + pe(n) - weighted(n))
-        return w * one + (1 - w) * below
+            return own
+        a, b = parts(n)
+        return math.exp(a - weighted(n)) * own + math.exp(b - weighted(n)) * below
+
+    def score(text):
+        s, total = symbols(text), 0.0
+        for i in range(depth, len(s)):
+            for j in range(8):
+                p = predict(s, i, j, 0, s[i] >> (7 - j) & 1)
+                total += math.log10(0.5 if p is None else p)
+        return total
 
-    s, total = symbols(text), 0.0
-    for i in range(depth, len(s)):
-        for j in range(8):
-            p = predict(s, i, j, 0)
-            p = 0.5 if p is None else p
-            total += math.log10(p if s[i] >> (7 - j) & 1 else 1 - p)
-    return total
+    return score
 
 
-@pytest.mark.parametrize("block, head", [(1_000_000, 1000), (40, 2)])
-def test_scores(spark, block, head):
+@pytest.mark.parametrize("depth, block, head, head_codes", [(scoring.DEPTH, scoring.BLOCK, 1000, 1000), (scoring.DEPTH, 40, 2, 3), (2, 40, 2, 1_000_000), (3, 1_000_000, 1000, 0)])
+def test_scores(spark, depth, block, head, head_codes):
     rows = [(i, t if t is None else t[:400]) for i, t in texts()]
-    got = scoring.judge(docs(spark, rows), depth=2, block=block, head=head).toPandas()
-    train = [scoring.prepared(t) for i, t in rows if crc_mod_py(i, 5) != 1]
-    counts = Counter(w for t in train for w in [*t.split(), None])
+    got = scoring.judge(docs(spark, rows), depth=depth, block=block, head=head, head_codes=head_codes).toPandas()
+    train = Counter(scoring.prepared(t) for i, t in rows if crc_mod_py(i, 5) != 1)
+    counts = Counter()
+    for t, times in train.items():
+        for w in [*t.split(), None]:
+            counts[w] += times
     n, distinct = sum(counts.values()), len(counts)
     assert len(got) == len(rows)
-    for i, t in rows:
+    plain = plain_tree(train, depth)
+    for i, t in dict(rows).items():
         raw = scoring.prepared(t)
         words = [*raw.split(), None]
         base = sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (distinct + 1))) for w in words)
-        want = plain_tree(train, raw, 2)
+        want = plain(raw)
         same = got[got["doc_id"].isna()] if i is None else got[got["doc_id"] == i]
-        assert len(same) and np.isclose(same["base_score"], base).all() and np.isclose(same["score"], want, rtol=1e-5).all(), i
+        assert len(same) and np.isclose(same["base_score"], base).all() and np.isclose(same["score"], want, rtol=1e-9).all(), i
         assert (same["n_tokens"] == len(words)).all() and (same["n_known"] == sum(counts[w] > 0 for w in words)).all()
-        assert np.isclose(same["bits_per_byte"], -want / math.log10(2) / (len(raw) + 1), rtol=1e-5).all()
+        assert np.isclose(same["bits_per_byte"], -want / math.log10(2) / (len(raw) + 1)).all()
         assert (same["train_tokens"] == n).all() and (same["held_out"] == (crc_mod_py(i, 5) == 1)).all()
 
 
+def test_scores_are_finite_at_any_counts():
+    depth = 3
+    train = Counter({b"aaaa": 10**9, b"tps: ": 20, b"tps:x": 10**12, b"zq": 1})
+    asked = [b"tps: ", b"tps:!", b"aaaab", b"zz", b"", b"\x00\x7f"]
+    counts = Counter()
+    for t, n in train.items():
+        for c in scoring.sequences([t], depth)[0].tolist():
+            counts[c] += n
+    for t in asked:
+        for c in scoring.sequences([t], depth)[0].tolist():
+            counts[c] += 0
+    frame = pd.DataFrame({"code": np.array(list(counts), dtype=np.uint64).view(np.int64), "n": list(counts.values())})
+    upper = scoring.top_levels(scoring._summaries(None, frame, depth, 3), 3)
+    value = dict(zip(counts, scoring._values(frame, upper, depth, 3)))
+    plain = plain_tree(train, depth)
+    for t in asked:
+        got = sum(value[c] for c in scoring.sequences([t], depth)[0].tolist())
+        want = plain(t)
+        assert math.isfinite(got) and got < 0 and np.isclose(got, want, rtol=1e-9), t
+    assert sum(value[c] for c in scoring.sequences([b"tps:!"], depth)[0].tolist()) < -8
+
+
+def test_table_of_values():
+    rng = np.random.default_rng(4)
+    codes = np.unique(rng.integers(0, 1 << 48, 5000).astype(np.uint64))
+    table = scoring.Table(codes, np.arange(1.0, len(codes) + 1))
+    values, missing = table.get(np.concatenate([codes, codes + np.uint64(1)]))
+    assert values[: len(codes)].tolist() == list(range(1, len(codes) + 1))
+    assert set(missing.tolist()) == {len(codes) + i for i, c in enumerate(codes.tolist()) if c + 1 not in set(codes.tolist())}
+    assert scoring.Table(codes[:0], np.empty(0)).get(codes)[1].tolist() == list(range(len(codes)))
+
+
 def test_scores_of_nothing(spark):
     assert scoring.judge(empty(spark)).count() == 0
 
@@ -339,13 +402,59 @@ def test_language(spark, sf_dir):
     assert got["score"].between(0, 1).all()
 
 
-def test_language_of_long_texts_only(spark):
-    long = "zorvik blenta quosh marn telvi dusk " * 700
-    assert len(long) > language.LONGEST
-    rows = spark.createDataFrame([(n, long, "zz") for n in range(6)] + [(n, prose(80, n), "en") for n in range(6, 20)], "doc_id long, text string, lang string")
-    model = language.fit(rows)
+def plain_language(rows, room):
+    """Every text compressed with every dictionary, which is built anew from the rows."""
+    import zstandard
+
+    texts_of = {}
+    for i, t, lang in rows:
+        if crc_mod_py(i, 4) != 2 and t is not None and lang is not None:
+            texts_of.setdefault(lang, []).append(t)
+    content = {}
+    for lang, own in texts_of.items():
+        pieces = sorted((at // language.PIECE, n, t[at : at + language.PIECE]) for n, t in enumerate(own) for at in range(0, max(1, len(t)), language.PIECE))
+        content[lang] = b" ".join(language.prepared(p) for _, _, p in pieces)[:room]
+    params = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_GREEDY, window_log=18, hash_log=17, chain_log=17, search_log=3, min_match=4, target_length=16, write_content_size=0, write_checksum=0, write_dict_id=0)
+    out = {}
+    for i, t, _ in rows:
+        if t is None or not any(map(str.isalpha, t)):
+            out[i] = "und", None
+            continue
+        size = {lang: len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(c, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params).compress(language.prepared(t))) for lang, c in content.items()}
+        best = min(size.values())
+        out[i] = {lang for lang, n in size.items() if n == best}, size
+    return out
+
+
+def test_language_against_plain_compression(spark):
+    rng = random.Random(3)
+    words = {lang: ["".join(rng.choice(letters) for _ in range(rng.randrange(2, 9))) for _ in range(300)] for lang, letters in (("aa", "abcdefgh"), ("bb", "efghijkl"), ("cc", "éöïabmno"), ("dd", "日本語漢字仮名"))}
+    rows = []
+    for n in range(240):
+        lang = rng.choice(list(words))
+        size = rng.choice([1, 3, 30, 200, 2500])
+        text = " ".join(rng.choice(words[lang]).upper() if rng.random() < 0.1 else rng.choice(words[lang]) for _ in range(size))
+        rows.append((n, rng.choice([text, text, text, text + "!! 123"]), lang))
+    rows += [(500, None, "aa"), (501, "1 2 3", "bb"), (502, "", "cc"), (503, "abc", None)]
+    # dictionaries take pieces in the order of hashed ids
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    order = [r["doc_id"] for r in frame.orderBy(F.xxhash64("doc_id")).collect()]
+    rows.sort(key=lambda r: order.index(r[0]))
+    want = plain_language(rows, language.room(4))
+    got = {r["doc_id"]: r for r in language.identify(frame).collect()}
+    assert len(got) == len(rows)
+    for i, (langs, _) in want.items():
+        assert got[i]["lang_pred"] in langs if langs != "und" else got[i]["lang_pred"] == "und", i
+        assert 0 <= got[i]["score"] <= 1 and got[i]["held_out"] == (crc_mod_py(i, 4) == 2)
+
+
+def test_every_language_is_learned(spark):
+    long = "zorvik blenta quosh marn telvi dusk " * 20_000
+    rows = [(n, long, "zz") for n in range(3)] + [(n, prose(80, n), "en") for n in range(6, 20)] + [(100 + n, f"only{n} word{n}s", f"l{n}") for n in range(300)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     content = dict(zip(model.langs, model.content))
-    assert 0 < len(content["zz"]) <= language.DICTIONARY and content["en"]
+    assert len(content) == 302 and all(content.values()) and sum(map(len, content.values())) <= language.ALL
+    assert len(content["zz"]) == language.room(302) < language.DICTIONARY
     assert language.classify("telvi dusk zorvik blenta quosh marn", model.langs, tuple(model.content))[0] == "zz"
 
 
@@ -375,6 +484,62 @@ def test_classifier(spark, larger):
     assert got["score"].between(0, 1).all() and (got["predicted"] == (got["score"] >= 0.3)).all()
 
 
+def plain_classifier(rows, labels, asked):
+    """The same model from feature sets in dictionaries: ratios, the dual problem solved one variable at a time, the curve."""
+    drawn = sorted(((xxhash.xxh64_intdigest(str(i).encode()), i) for i in labels))
+    feats = {i: set(classifier.features(rows[i]).tolist()) for i in rows}
+    ids = [i for _, i in drawn]
+    rest = [i for n, i in enumerate(ids) if n % 5 == 0] if len(ids) >= 50 else []
+    inside = [i for i in ids if i not in rest]
+    total = {y: classifier.COLUMNS * classifier.SMOOTH + sum(len(feats[i]) for i in inside if labels[i] == y) for y in (0, 1)}
+    counts = {y: Counter(c for i in inside if labels[i] == y for c in feats[i]) for y in (0, 1)}
+    ratio = lambda c: math.log((counts[1][c] + classifier.SMOOTH) / total[1]) - math.log((counts[0][c] + classifier.SMOOTH) / total[0])
+    values = {i: {c: ratio(c) for c in feats[i]} for i in rows}
+    for v in values.values():
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        for c in v:
+            v[c] /= max(norm, 1e-12)
+    w, bias, alpha = Counter(), 0.0, dict.fromkeys(inside, 0.0)
+    sign = {i: 1.0 if labels[i] else -1.0 for i in inside}
+    dot = lambda i: sum(w[c] * x for c, x in values[i].items()) + bias
+    for _ in range(120):
+        for i in inside:
+            new = min(max(alpha[i] - (sign[i] * dot(i) - 1) / (1 + sum(x * x for x in values[i].values())), 0.0), classifier.BOUND)
+            step, alpha[i] = (new - alpha[i]) * sign[i], new
+            bias += step
+            for c, x in values[i].items():
+                w[c] += step * x
+    fitted = rest or inside
+    y = np.array([labels[i] for i in fitted], dtype=float)
+    share = sum(labels.values()) / len(labels)
+    weights = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
+    slope, offset = classifier.logistic(np.array([dot(i) for i in fitted]), y, weights)
+    return {i: 1 / (1 + math.exp(-(slope * dot(i) + offset))) for i in asked}
+
+
+def test_classifier_against_plain_fit(spark, monkeypatch):
+    # many passes bring both to the optimum of one convex problem
+    monkeypatch.setattr(classifier.dual_descent, "__defaults__", (classifier.BOUND, 120, 3))
+    rng = random.Random(5)
+    rows, labels = {}, {}
+    for i in range(160):
+        good = rng.random() < 0.6
+        words = [rng.choice(["alpha", "beta", "gamma", "delta"] if good else ["CLICK!!", "free", "$$$", "win"]) if rng.random() < 0.4 else f"w{rng.randrange(80)}" for _ in range(rng.randrange(3, 60))]
+        rows[i] = " ".join(words)
+        if i % 4:
+            labels[i] = int(good)
+    rows[900], rows[901] = "", None
+    table = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    marks = spark.createDataFrame([(i, y) for i, y in labels.items()], "doc_id long, quality int")
+    got = {r["doc_id"]: r for r in classifier.judge(table, marks).collect()}
+    used = {i: y for i, y in labels.items() if crc_mod_py(i, 5) != 0}
+    want = plain_classifier(rows, used, rows)
+    assert len(got) == len(rows)
+    for i, p in want.items():
+        assert abs(got[i]["score"] - p) < 2e-3, (i, got[i]["score"], p)
+        assert got[i]["held_out"] == (crc_mod_py(i, 5) == 0) and got[i]["predicted"] == int(got[i]["score"] >= 0.3)
+
+
 def test_dual_descent_meets_its_conditions():
     rng = np.random.default_rng(7)
     rows = [np.unique(rng.integers(0, 40, 8)).astype(np.int32) for _ in range(80)]

@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from fixtures import docs, prose, texts
+from fixtures import docs, empty, prose, texts
 from test_text_operators import SECRETS, base_spans
 from tokenizers import Tokenizer
 
@@ -105,3 +105,10 @@ def test_stages_equal_plain_versions(spark, folder):
         want += [(i, s, zlib.crc32(ids[s : s + 4096].tobytes()), len(ids)) for s in range(0, len(ids), 4096)]
     got = corpus_pipeline.run(spark, path).collect()
     assert sorted(((r["doc_id"], r["start"], r["ids_crc32"], r["doc_tokens"]) for r in got), key=repr) == sorted(want, key=repr)
+
+
+def test_empty_tables(spark, tmp_path):
+    path = f"file://{tmp_path}"
+    empty(spark).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    assert corpus_pipeline.run(spark, path).count() == 0

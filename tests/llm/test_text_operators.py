@@ -16,7 +16,7 @@ from fixtures import docs, empty, multiset, texts
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from keystrata.llm import bpe, packing, quality_rules, queries, secrets, substrings
+from keystrata.llm import bpe, common, packing, quality_rules, queries, secrets, substrings
 from keystrata.llm.common import fresh, spread_join
 
 
@@ -316,6 +316,15 @@ def test_substrings(spark, width, anchor):
     assert substrings.digest(empty(spark)).count() == 0
 
 
+def test_substrings_of_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(common.spread_join, "__defaults__", ("inner", None, 1000, 2))
+    passage = " ".join(f"p{n}" for n in range(60))
+    rows = [(n, f"{'a' * (n % 7)} own{n} {passage} end{n}") for n in range(80)] + texts()
+    got = substrings.digest(docs(spark, rows))
+    assert multiset(got, "doc_id", "n_words", "n_removed", "kept_sha256") == cut(rows, 50)
+    assert substrings.remove_repeats(empty(spark)).count() == 0
+
+
 def test_substrings_cut_text(spark):
     source = docs(spark)
     out = substrings.remove_repeats(source)
