@@ -148,6 +148,23 @@ def logistic(margins: np.ndarray, labels: np.ndarray, weights: np.ndarray, round
     return max(a, 1e-3), b
 
 
+class _Scaled:
+    """The values of each row's columns, ratios scaled to unit length; made when asked for, as all at once are many."""
+
+    def __init__(self, rows: list[np.ndarray], ratios: np.ndarray):
+        self.rows, self.ratios = rows, ratios
+        self.scale = [1 / max(1e-12, float(np.sqrt((ratios[r] ** 2).sum()))) for r in rows]
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.ratios[self.rows[i]] * self.scale[i]
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __iter__(self) -> Iterator[np.ndarray]:
+        return (self[i] for i in range(len(self)))
+
+
 def fit_rows(rows: list[np.ndarray], labels: np.ndarray, share: float | None = None, columns: int = COLUMNS) -> Model:
     """The model of these feature rows; ``share`` is class 1's part of all labelled rows, for the curve."""
     if not len(rows) or len(set(labels.tolist())) < 2:
@@ -158,8 +175,8 @@ def fit_rows(rows: list[np.ndarray], labels: np.ndarray, share: float | None = N
         rest[:] = False
     inside = np.flatnonzero(~rest)
     ratios = log_count_ratios([rows[i] for i in inside], labels[inside], columns)
-    values = [ratios[r] / max(1e-12, float(np.sqrt((ratios[r] ** 2).sum()))) for r in rows]
-    w, bias = dual_descent([rows[i] for i in inside], [values[i] for i in inside], np.where(labels[inside] == 1, 1.0, -1.0), columns)
+    values = _Scaled(rows, ratios)
+    w, bias = dual_descent([rows[i] for i in inside], _Scaled([rows[i] for i in inside], ratios), np.where(labels[inside] == 1, 1.0, -1.0), columns)
     at = np.flatnonzero(rest) if rest.any() else inside
     margins = np.array([float(w[rows[i]] @ values[i]) + bias for i in at])
     y = labels[at].astype(float)
@@ -198,7 +215,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     )
     drawn = one.unionByName(zero)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(drawn), "doc_id")
-    rows = texts.mapInPandas(_feature_rows, "doc_id long, label int, columns array<int>").toPandas()
+    rows = texts.mapInPandas(_feature_rows, "doc_id long, label int, columns array<int>")
+    rows = common.local(rows)
     rows["order"] = [xxhash.xxh64_intdigest(str(i).encode()) for i in rows["doc_id"]]
     rows = rows.sort_values(["order", "doc_id"], kind="stable")
     share = counts.get(1, 0) / max(1, sum(counts.values()))

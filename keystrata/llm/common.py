@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import shipping
 
-__all__ = ["SPACE", "WORD", "connected_components", "crc_mod", "crc_mod_py", "drawn", "fresh", "only", "read", "sent_if_small", "shared_dir", "ship", "spread_join", "stage", "unstage"]
+__all__ = ["SPACE", "WORD", "connected_components", "crc_mod", "crc_mod_py", "drawn", "fresh", "local", "only", "read", "sent_if_small", "shared_dir", "ship", "spread_join", "stage", "unstage"]
 
 #: ASCII white space; words are the maximal runs of other characters.
 SPACE = r"\x20\x09-\x0D"
@@ -104,6 +104,11 @@ def unstage(df: DataFrame) -> None:
             _delete(spark, folder)
 
 
+def local(df: DataFrame):
+    """The rows of a table of bounded size on the driver, as they came in Arrow batches."""
+    return df.toArrow().to_pandas()
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

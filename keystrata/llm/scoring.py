@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, ship, stage
+from .common import crc_mod, local, ship, stage
 
 #: Bytes of context; sequences in a block, about; frequent sequences and frequent words that every task holds.
 DEPTH, BLOCK, HEAD_CODES, HEAD = 5, 400_000, 1_000_000, 100_000
@@ -348,14 +348,14 @@ def fit(docs: DataFrame, depth: int = DEPTH, block: int = BLOCK, head: int = HEA
     # a node's sums come from the few blocks of its context; there are at most 2**24 nodes, far fewer in UTF-8 text
     tops = dealt.groupBy("block").applyInPandas(summaries, "bits int, node long, zeros double, ones double, below double")
     tops = tops.groupBy("bits", "node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("below").alias("below"))
-    upper = sc.broadcast(top_levels(tops.toPandas(), top))
+    upper = sc.broadcast(top_levels(local(tops), top))
 
     def values_of(key, frame: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"code": frame["code"], "value": _values(frame, upper.value, depth, top), "every": frame["every"]})
 
     values = stage(dealt.groupBy("block").applyInPandas(values_of, "code long, value double, every long"), "values")
-    frequent = values.where(F.col("every") >= _head_count(values, head_codes)).select("code", "value").toPandas()
-    words = counts.where(F.col("every") >= _head_count(counts, head)).select("word", "n").toPandas()
+    frequent = local(values.where(F.col("every") >= _head_count(values, head_codes)).select("code", "value"))
+    words = local(counts.where(F.col("every") >= _head_count(counts, head)).select("word", "n"))
     known = {bytes(w): int(n) for w, n in zip(words["word"], words["n"])}
     shared = sc.broadcast((frequent["code"].to_numpy("int64").view(np.uint64), frequent["value"].to_numpy("float64"), known, int(ends)))
     return Model(depth, values, counts, shared, int(tokens) + int(ends), int(distinct) + (ends > 0))

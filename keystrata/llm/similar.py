@@ -180,12 +180,14 @@ def missing_candidates(docs: DataFrame, survey: DataFrame, speakers: DataFrame,
     run = functools.partial(_prefixes, width=width, similarity=similarity, frequent=frequent, levels=levels)
     prefixes = stage(texts.mapInPandas(run, "name long, n int, rest int, last long, prefix array<long>"), "prefixes")
     roots = sent_if_small(stage(roots, "roots"), 24)
-    rows = prefixes.join(roots, F.col("name") == F.col("u"), "left").select("name", F.coalesce("root", "name").alias("root"), "n", "rest", "last", F.explode("prefix").alias("g"))
+    named = prefixes.join(roots, F.col("name") == F.col("u"), "left").withColumn("root", F.coalesce("root", "name"))
     # a shingle within one group brings nothing
-    shared = rows.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high").select("g", "n")
-    shared = stage(shared, "shared")
-    sent = sent_if_small(shared.select("g"), 24)
-    met = stage(spread_join(rows, sent, "g", counts=shared).dropDuplicates(["g", "name"]), "met")
+    given_ = named.select("name", "root", F.explode("prefix").alias("g"))
+    shared = given_.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("g")
+    shared = sent_if_small(stage(shared, "shared"), 16)
+    # only ids and shingles move until the few that are shared are left
+    met = stage(given_.select("name", "g").join(shared, "g").distinct(), "met-names")
+    met = stage(met.join(named.drop("prefix", "u"), "name"), "met")
     unstage(prefixes)
     # groups meet first, so that the members of one group never meet; where many do, they are dealt into parts
     heads = met.groupBy("g", "root").agg(F.min("n").alias("low"), F.max("n").alias("high"))
