@@ -15,6 +15,7 @@ from .functions import bloom, folds, scalar
 from .model import EVENT_LOG_SQL, UNBOUNDED, Bound, event_log, user_key
 from .operators import gc, merge, snapshot, transactions, writes
 from .plans import compaction, runs
+from .sources.store import Run, replay
 
 Query = Callable[[SparkSession, str], DataFrame]
 KV = f"kv AS ({EVENT_LOG_SQL})"
@@ -169,10 +170,10 @@ def merge_two(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.merge_two(_tagged(log.where("ts % 3 = 0"), "a:"), _tagged(log.where("ts % 5 <> 0"), "b:"))
 
 
-@query("concat_runs", f"WITH {KV} SELECT key, ts, is_delete, value FROM kv WHERE key < 'u00030' OR key >= 'u00060'")
+@query("concat_runs", f"WITH {KV} SELECT key, ts, is_delete, value FROM kv")
 def concat_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = event_log(spark, sf_dir)
-    return merge.concat(log.where("key < 'u00030'"), log.where("key >= 'u00060' AND key < 'u00090'"), log.where("key >= 'u00090'"))
+    return merge.concat(log.where("key < 'u00030'"), log.where("key >= 'u00030' AND key < 'u00090'"), log.where("key >= 'u00090'"))
 
 
 @query(
@@ -207,11 +208,11 @@ def _overlay_sql(overlay: str) -> str:
 
 @query(
     "txn_overlay_scan",
-    _overlay_sql("SELECT concat('u', lpad(CAST(c_custkey * 3 AS VARCHAR), 5, '0')) AS key, c_custkey % 2 = 0 AS is_delete, concat('local@', CAST(c_custkey AS VARCHAR)) AS value FROM customer WHERE c_custkey < 60"),
+    _overlay_sql("SELECT concat('u', lpad(n, greatest(5, length(n)), '0')) AS key, c_custkey % 2 = 0 AS is_delete, concat('local@', CAST(c_custkey AS VARCHAR)) AS value FROM (SELECT *, CAST(c_custkey * 3 AS VARCHAR) AS n FROM customer)"),
 )
 def txn_overlay_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = event_log(spark, sf_dir)
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey < 60")
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
     own = customer.select(user(F.col("c_custkey") * 3).alias("key"), (F.col("c_custkey") % 2 == 0).alias("is_delete"), F.concat(F.lit("local@"), F.col("c_custkey").cast("string")).alias("value"))
     return transactions.overlay_scan(log, own, half(log))
 
@@ -563,10 +564,16 @@ def bloom_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT run_id, max(seq) AS seq FROM e GROUP BY run_id HAVING max(gone) = 0""",
 )
 def manifest_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    added = spark.range(1, 201).select(F.col("id").alias("seq"), F.col("id").alias("run_id"), F.lit(0).alias("gone"))
-    steps = spark.range(1, 201).where("id % 10 = 0")
-    removed = steps.select((F.col("id") + 1).alias("seq"), F.explode(F.sequence(F.lit(1).cast("long"), "id")).alias("run_id"), F.lit(1).alias("gone")).where("run_id % 7 <> 0")
-    return added.unionByName(removed).groupBy("run_id").agg(F.max("seq").alias("seq"), F.max("gone").alias("gone")).where("gone = 0").drop("gone")
+    """A manifest of 200 flushes, and after every tenth a merge that removes most of the runs before it, replayed by
+    the store's own recovery."""
+    records = []
+    for i in range(1, 201):
+        run = Run(i, 0, b"a", b"z", i, 1, 1, f"runs/{i}")
+        records.append({"type": "flush", "flushed": i, "added": [run.as_json()]})
+        if i % 10 == 0:
+            records.append({"type": "compaction", "removed": [j for j in range(1, i + 1) if j % 7]})
+    live, _, _ = replay(records)
+    return spark.createDataFrame([(r.run_id, r.max_ts) for r in live], "run_id long, seq long")
 
 
 @query(

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import in_bounds, prefix_bounds
@@ -26,13 +26,15 @@ def prefix_filter(*prefixes: Any) -> Column:
 def collect(versions: DataFrame, watermark: Any, bottom: bool = False, dropped: Column | None = None) -> DataFrame:
     """The versions to keep of ``versions(key, ts, is_delete, ...)``, where each ``(key, ts)`` stands once.
 
-    One window over the key serves both conditions: a version's place among all and among those up to W."""
-    order = Window.partitionBy("key").orderBy(F.desc("ts"))
-    at_or_below = (F.col("ts") <= watermark).cast("int")
-    rows = versions.withColumns({"__nth": F.row_number().over(order), "__below": F.sum(at_or_below).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))})
-    first_below = F.col("__below") == 1
+    What is newer than the watermark stays as it is, without a shuffle. Of the rest one version a key can stay: each
+    task takes the newest of its own before they meet, so a key of very many versions is no more work for one task
+    than any other."""
+    columns = versions.columns
+    below = F.when(F.col("ts") <= watermark, F.col("ts"))
+    newest = versions.groupBy(F.col("key").alias("__key")).agg(F.max_by(F.struct(*columns), below).alias("__row"), F.max("ts").alias("__newest"))
+    rest = newest.where(F.col("__row").isNotNull()).select("__row.*", "__newest")
     if dropped is not None:
-        first_below = first_below & ~dropped
+        rest = rest.where(~dropped)
     if bottom:
-        first_below = first_below & ~(F.col("is_delete") & (F.col("__nth") == 1))
-    return rows.where((F.col("ts") > watermark) | first_below).drop("__nth", "__below")
+        rest = rest.where(~(F.col("is_delete") & (F.col("ts") == F.col("__newest"))))
+    return versions.where(F.col("ts") > watermark).unionByName(rest.select(*columns))
