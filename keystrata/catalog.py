@@ -208,7 +208,7 @@ def _overlay_sql(overlay: str) -> str:
 
 @query(
     "txn_overlay_scan",
-    _overlay_sql("SELECT concat('u', lpad(n, greatest(5, length(n)), '0')) AS key, c_custkey % 2 = 0 AS is_delete, concat('local@', CAST(c_custkey AS VARCHAR)) AS value FROM (SELECT *, CAST(c_custkey * 3 AS VARCHAR) AS n FROM customer)"),
+    _overlay_sql("SELECT concat('u', lpad(n, CAST(greatest(5, length(n)) AS INTEGER), '0')) AS key, c_custkey % 2 = 0 AS is_delete, concat('local@', CAST(c_custkey AS VARCHAR)) AS value FROM (SELECT *, CAST(c_custkey * 3 AS VARCHAR) AS n FROM customer)"),
 )
 def txn_overlay_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = event_log(spark, sf_dir)
