@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import contextvars
+import gc
 import os
 import tempfile
 import uuid
 import zlib
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import shipping
 
-__all__ = ["SPACE", "WORD", "connected_components", "crc_mod", "crc_mod_py", "drawn", "fresh", "local", "only", "read", "sent_if_small", "shared_dir", "ship", "spread_join", "stage", "unstage"]
+__all__ = ["SPACE", "WORD", "connected_components", "crc_mod", "crc_mod_py", "drawn", "fresh", "local", "only", "passing", "read", "sent_if_small", "shared_dir", "ship", "spread_join", "stage", "unstage"]
 
 #: ASCII white space; words are the maximal runs of other characters.
 SPACE = r"\x20\x09-\x0D"
@@ -86,15 +90,44 @@ def _delete(spark: SparkSession, folder: str) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: The folders of the tables that the blocks of ``passing`` now open have staged, outermost first.
+_open: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("open", default=())
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a compressed table in the shared folder and return the reread table, whose lineage is cut."""
+    return _staged(df, name, _open.get())
+
+
+def _staged(df: DataFrame, name: str, blocks: tuple[list[str], ...]) -> DataFrame:
     spark = df.sparkSession
     path = f"{_stage_root(spark)}/{name}-{uuid.uuid4().hex}"
+    if blocks:
+        blocks[-1].append(path)
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
+@contextlib.contextmanager
+def passing(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A block whose staged tables are deleted when it ends, whether it fails or not.
+
+    It yields a function like ``stage`` for the tables that outlive the block; what they are computed from may go, as
+    they are written. Executors keep shuffle files for as long as the driver holds the plans they belong to, which can
+    be until its heap is full, so the driver collects its garbage at the end."""
+    outer, own = _open.get(), []
+    token = _open.set((*outer, own))
+    try:
+        yield lambda df, name: _staged(df, name, outer)
+    finally:
+        _open.reset(token)
+        for path in own:
+            _delete(spark, path)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+
+
 def unstage(df: DataFrame) -> None:
     """Delete what ``stage`` wrote for ``df``; only for tables that nothing reads any more."""
     spark = df.sparkSession

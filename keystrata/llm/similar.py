@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, drawn, fresh, only, sent_if_small, ship, spread_join, stage, unstage
+from .common import connected_components, drawn, fresh, only, passing, sent_if_small, ship, spread_join, stage, unstage
 from .simhash import RADIUS, fingerprint_of, links
 from .substrings import BASES, NO_ID, _hashes, least_of_runs, mix, rolling, word_hashes
 
@@ -169,7 +169,7 @@ def frequent_shingles(docs: DataFrame, speakers: DataFrame, width: int) -> tuple
 
 
 def missing_candidates(docs: DataFrame, survey: DataFrame, speakers: DataFrame, roots: DataFrame, width: int, similarity: float) -> DataFrame:
-    """``(u, v)``: all pairs of sets of different groups in ``roots(u, root)`` that can have the wanted similarity."""
+    """``(u, v)``: all pairs of sets of different groups in the staged ``roots(u, root)`` that can have the wanted similarity."""
     frequent, levels = frequent_shingles(docs, speakers, width)
     # the rows that do not speak for a set are fewer than those that do
     same = survey["doc_id"].eqNullSafe(speakers["doc_id"]) & (survey["k"] == speakers["k"])
@@ -179,7 +179,7 @@ def missing_candidates(docs: DataFrame, survey: DataFrame, speakers: DataFrame,
     texts = texts.join(silent, _same_row(texts, silent), "left_anti").select("text")
     run = functools.partial(_prefixes, width=width, similarity=similarity, frequent=frequent, levels=levels)
     prefixes = stage(texts.mapInPandas(run, "name long, n int, rest int, last long, prefix array<long>"), "prefixes")
-    roots = sent_if_small(stage(roots, "roots"), 24)
+    roots = sent_if_small(roots, 24)
     named = prefixes.join(roots, F.col("name") == F.col("u"), "left").withColumn("root", F.coalesce("root", "name"))
     # a shingle within one group brings nothing
     given_ = named.select("name", "root", F.explode("prefix").alias("g"))
@@ -210,8 +210,7 @@ def missing_candidates(docs: DataFrame, survey: DataFrame, speakers: DataFrame,
 
 
 def similar_links(docs: DataFrame, speakers: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The edges of ``pairs(u, v)`` whose speakers' shingle sets have at least the wanted Jaccard similarity."""
-    pairs = stage(pairs.distinct(), "candidates")
+    """The edges of ``pairs(u, v)``, staged and distinct, whose speakers' shingle sets have at least the wanted Jaccard similarity."""
     wanted = pairs.select(F.col("u").alias("name")).unionByName(pairs.select(F.col("v").alias("name"))).distinct()
     ids = speakers.join(wanted, "name", "left_semi").select(F.col("doc_id").alias("__id"), F.col("k").alias("__k"), "name")
     ids = sent_if_small(stage(ids, "asked"), 32)
@@ -230,30 +229,47 @@ def similar_links(docs: DataFrame, speakers: DataFrame, pairs: DataFrame, width:
 def one_of_each(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` without near copies; all columns stay."""
     ship(docs.sparkSession)
-    survey = _keyed(docs).mapInPandas(functools.partial(_survey, width=width), "doc_id long, k long, print long, name long, given array<long>")
-    survey = stage(survey, "survey")
+    spark = docs.sparkSession
+    with passing(spark) as keep:
+        rows = _keyed(docs).mapInPandas(functools.partial(_survey, width=width), "doc_id long, k long, print long, name long, given array<long>")
+        survey = stage(rows, "survey")
+        row = survey.select("doc_id", "k")
+        roots, first = _groups(docs, survey, width, similarity, radius)
+        best = first.join(roots, F.col("name") == F.col("u"), "left").groupBy(F.coalesce("root", "name").alias("root")).agg(F.min("best").alias("best"))
+        stay = best.select(F.col("best.doc_id").alias("__id"), F.col("best.k").alias("__k"))
+        # the rows that go are fewer than those that stay
+        gone = row.distinct().select(F.col("doc_id").alias("i"), F.col("k").alias("j"))
+        gone = gone.join(stay, F.col("i").eqNullSafe(F.col("__id")) & (F.col("j") == F.col("__k")), "left_anti")
+        gone = keep(gone.select(F.col("i").alias("__id"), F.col("j").alias("__k")), "gone")
+        again = not row.groupBy("doc_id", "k").count().where("count > 1").isEmpty()
+    gone = sent_if_small(gone, 32)
+    kept = docs.join(gone, _same_row(docs, gone), "left_anti")
+    if not again:
+        return kept
+    (k,) = fresh(docs.columns, "k")
+    return kept.withColumn(k, F.xxhash64("text")).dropDuplicates(["doc_id", k]).drop(k)
+
+
+def _groups(docs: DataFrame, survey: DataFrame, width: int, similarity: float, radius: int) -> tuple[DataFrame, DataFrame]:
+    """``(u, root)`` of the sets that are similar to another, and ``(name, best, print)`` of all sets."""
+    spark = docs.sparkSession
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k")
     first = survey.groupBy("name").agg(F.min(order).alias("best"), F.min("print").alias("print"))
     first = stage(first.select("name", "best", "print"), "names")
     # one row speaks for each set
     speakers = stage(_speakers(survey, first), "speakers")
-    pairs = print_links(first, radius).unionByName(candidates(speakers))
-    roots = connected_components(similar_links(docs, speakers, pairs, width, similarity), "similar")
-    more = stage(similar_links(docs, speakers, missing_candidates(docs, survey, speakers, roots, width, similarity), width, similarity), "missing")
-    if not more.isEmpty():
-        roots = connected_components(roots.select("u", F.col("root").alias("v")).unionByName(more), "similar")
-    best = first.join(roots, F.col("name") == F.col("u"), "left").groupBy(F.coalesce("root", "name").alias("root")).agg(F.min("best").alias("best"))
-    keep = best.select(F.col("best.doc_id").alias("__id"), F.col("best.k").alias("__k"))
-    # the rows that go are fewer than those that stay
-    row = survey.select(F.col("doc_id").alias("i"), F.col("k").alias("j")).distinct()
-    gone = row.join(keep, F.col("i").eqNullSafe(F.col("__id")) & (F.col("j") == F.col("__k")), "left_anti")
-    gone = sent_if_small(stage(gone.select(F.col("i").alias("__id"), F.col("j").alias("__k")), "gone"), 32)
-    kept = docs.join(gone, _same_row(docs, gone), "left_anti")
-    again = survey.groupBy("doc_id", "k").count().where("count > 1")
-    if again.isEmpty():
-        return kept
-    (k,) = fresh(docs.columns, "k")
-    return kept.withColumn(k, F.xxhash64("text")).dropDuplicates(["doc_id", k]).drop(k)
+    with passing(spark) as keep:
+        pairs = keep(print_links(first, radius).unionByName(candidates(speakers)).distinct(), "candidates")
+    with passing(spark) as keep:
+        edges = similar_links(docs, speakers, pairs, width, similarity)
+        roots = keep(connected_components(edges, "similar"), "roots")
+    with passing(spark) as keep:
+        pairs = keep(missing_candidates(docs, survey, speakers, roots, width, similarity), "candidates")
+    with passing(spark) as keep:
+        more = stage(similar_links(docs, speakers, pairs, width, similarity), "missing")
+        if not more.isEmpty():
+            roots = keep(connected_components(roots.select("u", F.col("root").alias("v")).unionByName(more), "similar"), "roots")
+    return roots, first
 
 
 def _speakers(survey: DataFrame, first: DataFrame) -> DataFrame:

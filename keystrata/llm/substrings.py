@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, only, sent_if_small, ship, spread_join, stage
+from .common import fresh, only, passing, sent_if_small, ship, spread_join, stage
 from .quality_rules import let
 
 #: Words in a window, and words in the shorter sequences that find the windows worth naming.
@@ -259,12 +259,13 @@ def _remove(batches: Iterator[pa.RecordBatch], whole: str, cuts: str) -> Iterato
 def remove_repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) -> DataFrame:
     """``docs`` with the repeated words cut out of ``text``; all columns stay, whatever their names."""
     whole, cuts, i, k = fresh(docs.columns, "whole", "cuts", "id", "key")
-    _, copies, _, gone = repeats(docs, width, anchor)
     none = F.lit(None).cast("array<array<int>>")
     ids = [F.col("doc_id").alias(i), F.col("k").alias(k)]
-    marks = gone.select(*ids, F.lit(False).alias(whole), F.col("cuts").alias(cuts))
-    marks = marks.unionByName(copies.select(*ids, F.lit(True).alias(whole), none.alias(cuts)))
-    marks = sent_if_small(stage(marks, "marks"), 32 + 32 * F.coalesce(F.size(cuts), F.lit(0)))
+    with passing(docs.sparkSession) as keep:
+        _, copies, _, gone = repeats(docs, width, anchor)
+        marks = gone.select(*ids, F.lit(False).alias(whole), F.col("cuts").alias(cuts))
+        marks = keep(marks.unionByName(copies.select(*ids, F.lit(True).alias(whole), none.alias(cuts))), "marks")
+    marks = sent_if_small(marks, 32 + 32 * F.coalesce(F.size(cuts), F.lit(0)))
     match = (F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == marks[i]) & (F.xxhash64(docs["text"]) == marks[k])
     marked = docs.join(marks, match, "left").drop(i, k)
     return marked.mapInArrow(functools.partial(_remove, whole=whole, cuts=cuts), docs.schema)
