@@ -45,6 +45,8 @@ DRAWN, FREQUENT = 1000, 100_000
 HUB = 1000
 #: Groups that meet at a shingle for each of the parts that they are dealt into, and these parts at most.
 MET, PARTS = 64, 64
+#: Sets of one group meet others as one if their sizes are within about this factor.
+CLASS = 1.05
 
 
 def shingle_hashes(text: bytes, width: int) -> np.ndarray:
@@ -189,18 +191,27 @@ def missing_candidates(docs: DataFrame, survey: DataFrame, speakers: DataFrame,
     met = stage(given_.select("name", "g").join(shared, "g").distinct(), "met-names")
     met = stage(met.join(named.drop("prefix", "u"), "name"), "met")
     unstage(prefixes)
-    # groups meet first, so that the members of one group never meet; where many do, they are dealt into parts
-    heads = met.groupBy("g", "root").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    # groups meet first, their members of nearly one size as one, so that the members of one group never meet; where
+    # many do, they are dealt into parts
+    met = met.withColumn("class", F.floor(F.log("n") / math.log(CLASS)).cast("int"))
+    heads = met.groupBy("g", "root", "class").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("rest"))
     heads = stage(heads, "met-heads")
     parts = heads.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
     parts = stage(parts.select("g", "n", F.least(F.lit(PARTS), F.ceil(F.col("n") / MET)).cast("int").alias("parts")), "met-parts")
     heads = spread_join(heads, parts.drop("n"), "g", counts=parts)
-    a = heads.select("g", F.pmod(F.xxhash64("root"), "parts").cast("int").alias("part"), F.col("root").alias("ra"), F.col("low").alias("la"), F.col("high").alias("ha"))
-    b = heads.select("g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("root").alias("rb"), F.col("low").alias("lb"), F.col("high").alias("hb"))
+    named_as = lambda x: [F.col("root").alias(f"r{x}"), F.col("class").alias(f"c{x}"), F.col("low").alias(f"l{x}"), F.col("high").alias(f"h{x}"), F.col("rest").alias(f"m{x}")]
+    a = heads.select("g", F.pmod(F.xxhash64("root", "class"), "parts").cast("int").alias("part"), *named_as("a"))
+    b = heads.select("g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *named_as("b"))
     near = (F.col("ha") >= similarity * F.col("lb") - 1e-6) & (F.col("hb") >= similarity * F.col("la") - 1e-6)
-    groups = a.join(b, ["g", "part"]).where((F.col("ra") < F.col("rb")) & near).select("g", "ra", "rb")
-    one, two = (met.select("g", F.col("root").alias(f"r{x}"), *[F.col(c).alias(f"{c}_{x}") for c in ("name", "n", "rest", "last")]) for x in "ab")
-    pairs = groups.join(one, ["g", "ra"]).join(two, ["g", "rb"])
+    both = ["ra", "ca", "rb", "cb"]
+    groups = stage(a.join(b, ["g", "part"]).where((F.col("ra") < F.col("rb")) & near).drop("part"), "groups")
+    # no two members share more prefix shingles than their groups do: most groups that meet go before their members are listed
+    bound = F.count(F.lit(1)) + F.max(F.greatest("ma", "mb")) >= similarity / (1 + similarity) * (F.min("la") + F.min("lb")) - 1e-6
+    able = groups.groupBy(*both).agg(bound.alias("able")).where("able").drop("able")
+    groups = groups.join(sent_if_small(stage(able, "able"), 32), both).drop("ma", "mb")
+    one, two = (met.select("g", F.col("root").alias(f"r{x}"), F.col("class").alias(f"c{x}"), *[F.col(c).alias(f"{c}_{x}") for c in ("name", "n", "rest", "last")]) for x in "ab")
+    sized = (F.col("n_a") >= similarity * F.col("lb") - 1e-6) & (F.col("hb") >= similarity * F.col("n_a") - 1e-6)
+    pairs = groups.join(one, ["g", "ra", "ca"]).where(sized).join(two, ["g", "rb", "cb"])
     pairs = pairs.where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-6)
     counts = pairs.groupBy("name_a", "name_b", "n_a", "n_b", "rest_a", "rest_b", "last_a", "last_b").count()
     # what is common beyond the prefix that ends first lies in the rest of its set
