@@ -1,6 +1,7 @@
 """Packing, byte-level BPE, quality rules, secrets and substring dedup against plain versions."""
 
 import hashlib
+import os
 import random
 import re
 import time
@@ -348,3 +349,22 @@ def test_rolling_hashes():
     x = rng.integers(0, 1000, 100).astype(np.uint64)
     assert substrings.least_of_runs(x, 35).tolist() == [x[i : i + 35].min() for i in range(66)]
     assert pd.Series(substrings.rolling(values[:3], 5, 3)).empty
+
+
+def test_passing_deletes_what_it_staged(spark):
+    held = {}
+    with common.passing(spark) as keep:
+        held["gone"] = common.stage(spark.range(3), "gone").inputFiles()
+        with common.passing(spark) as inner:
+            held["inner"] = common.stage(spark.range(4), "inner").inputFiles()
+            held["outer"] = inner(spark.range(5), "outer")
+            kept = keep(spark.range(6), "kept")
+        assert not any(os.path.exists(f.removeprefix("file://")) for f in held["inner"])
+        assert held["outer"].count() == 5
+        files = held["outer"].inputFiles()
+    with pytest.raises(ZeroDivisionError), common.passing(spark):
+        held["failed"] = common.stage(spark.range(2), "failed").inputFiles()
+        raise ZeroDivisionError
+    for f in held["gone"] + files + held["failed"]:
+        assert not os.path.exists(f.removeprefix("file://"))
+    assert sorted(r.id for r in kept.collect()) == list(range(6))
