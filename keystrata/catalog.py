@@ -427,7 +427,7 @@ def plan_leveled_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM lv, u, o, k WHERE run_id = pick OR (level = up + 1 AND last_key >= lo AND first_key <= hi)""",
 )
 def plan_leveled_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _task_rows(spark, compaction.Leveled(base_mb=1, l0_trigger=1000).plan(_levelled(spark, sf_dir, 5)))
+    return _task_rows(spark, compaction.Leveled(base_mb=1, l0_trigger=1000).pick(_levelled(spark, sf_dir, 5)))
 
 
 @query(

@@ -101,10 +101,16 @@ class Leveled:
 
     def plan(self, runs: DataFrame) -> Task | None:
         sizes = level_sizes(runs)
-        target, base = self.targets(sizes)
         if sizes.get(0, (0, 0))[0] >= self.l0_trigger:
+            base = self.targets(sizes)[1]
             upper = _ids(runs, F.col("level") == 0)
             return Task(0, upper, base, overlapping_ids(runs, upper, base), base == self.max_levels)
+        return self.pick(runs, sizes)
+
+    def pick(self, runs: DataFrame, sizes: dict[int, tuple[int, int]] | None = None) -> Task | None:
+        """The oldest run of the fullest level from 1 on, whatever level 0 holds."""
+        sizes = level_sizes(runs) if sizes is None else sizes
+        target, _ = self.targets(sizes)
         full = []
         for level in range(1, self.max_levels):
             real = sizes.get(level, (0, 0))[1]

@@ -38,3 +38,13 @@ def test_keys_of_long_user_ids(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, user_id long, event_type string").write.parquet(f"file://{tmp_path}/events.parquet")
     keys = [r["key"] for r in event_log(spark, f"file://{tmp_path}").orderBy("ts").collect()]
     assert keys == ["u00007", "u99999", "u100000", "u100001", "u1000000"]
+
+
+def test_leveled_pick_with_many_runs_in_level_0(spark, tmp_path):
+    rows = [(n, 10 * n, "click") for n in range(5_000)]  # a run for each user, 1,000 of them in level 0
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string").write.parquet(f"file://{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.sql(catalog.oracle_sql()["plan_leveled_pick"])
+    got = catalog.queries()["plan_leveled_pick"](spark, f"file://{tmp_path}").select(*want.columns)
+    assert [tuple(r) for r in got.collect()] == want.fetchall() == [(1, 1, 2, "upper", False)]

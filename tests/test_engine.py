@@ -192,6 +192,15 @@ def test_leveled_plan(spark):
     assert s.plan(table(spark, full)) == compaction.Task(3, (2,), 4, (1,), True)
 
 
+def test_leveled_pick_leaves_level_0(spark):
+    s = compaction.Leveled(base_mb=128)
+    flush = [(i, 0, "a", "f", 1) for i in range(10, 14)]
+    full = [(1, 4, "a", "f", 300 * compaction.MB), (2, 3, "a", "c", 100 * compaction.MB), (3, 3, "d", "f", 100 * compaction.MB), (4, 4, "g", "z", 1)]
+    assert s.plan(table(spark, flush + full)).upper_level == 0
+    assert s.pick(table(spark, flush + full)) == compaction.Task(3, (2,), 4, (1,), True)
+    assert s.pick(table(spark, flush)) is None
+
+
 def test_tiered_plan(spark):
     tiers = lambda *files: table(spark, [(100 * t + i, t, "a", "z", 1) for t, n in enumerate(files) for i in range(n)])
     s = compaction.Tiered()
