@@ -186,6 +186,7 @@ def fit_rows(rows: list[np.ndarray], labels: np.ndarray, share: float | None = N
     return Model(w * ratios, ratios, bias, slope, offset)
 
 
+@common.tidy
 def _feature_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     common.only(_words)
     for batch in batches:
@@ -194,6 +195,7 @@ def _feature_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out
 
 
+@common.tidy
 def _score(batches: Iterator[pd.DataFrame], model: Model) -> Iterator[pd.DataFrame]:
     common.only(_words)
     for batch in batches:
@@ -232,6 +234,7 @@ def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     return rows.mapInPandas(functools.partial(_score, model=small), f"{kept}, score double")
 
 
+@common.tidy
 def _keep(batches: Iterator[pa.RecordBatch], model: Model, threshold: float) -> Iterator[pa.RecordBatch]:
     common.only(_words)
     for batch in batches:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import contextlib
 import contextvars
+import ctypes
+import functools
 import gc
 import os
 import tempfile
@@ -12,12 +14,13 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import shipping
 
-__all__ = ["SPACE", "WORD", "connected_components", "crc_mod", "crc_mod_py", "drawn", "fresh", "local", "only", "passing", "read", "sent_if_small", "shared_dir", "ship", "spread_join", "stage", "unstage"]
+__all__ = ["SPACE", "WORD", "connected_components", "crc_mod", "crc_mod_py", "drawn", "fresh", "local", "only", "passing", "read", "sent_if_small", "shared_dir", "ship", "spread_join", "stage", "tidy", "unstage"]
 
 #: ASCII white space; words are the maximal runs of other characters.
 SPACE = r"\x20\x09-\x0D"
@@ -46,15 +49,42 @@ def _bytes(value: str) -> int:
 
 
 def only(cache: dict) -> dict:
-    """``cache``, with what other operators remembered in this worker forgotten: one memory at a time."""
+    """``cache``, with what other operators remembered in this worker forgotten: one memory at a time.
+
+    A memory with a ``forget`` lets go of more than its entries."""
     for other in _caches:
         if other is not cache:
-            other.clear()
+            getattr(other, "forget", other.clear)()
     if not any(c is cache for c in _caches):
         _caches.append(cache)
     return cache
 
 
+def give_back() -> None:
+    """Return the memory that this worker has freed to the system; its allocators would keep most of it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(function: Callable) -> Callable:
+    """``function``, which makes a task's batches, with freed memory given back after each of them and at its end.
+
+    Workers stay between tasks, and count among an executor's memory while Spark sorts and joins."""
+
+    @functools.wraps(function)
+    def run(*args, **kwargs):
+        try:
+            for batch in function(*args, **kwargs):
+                yield batch
+                del batch
+                give_back()
+        finally:
+            give_back()
+
+    return run
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, as the session names it.
 

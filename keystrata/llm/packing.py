@@ -51,11 +51,24 @@ class _Words(dict):
     """
 
     def __init__(self, path: str):
+        super().__init__()
+        self.path = path
+
+    @functools.cached_property
+    def tokenizer(self):
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
-        self.merge = self.tokenizer.model.tokenize
+        return Tokenizer.from_file(self.path)
+
+    @functools.cached_property
+    def merge(self):
+        return self.tokenizer.model.tokenize
+
+    def forget(self) -> None:
+        """Empty the memory and drop the tokenizer until a word is asked for."""
+        self.clear()
+        for name in ("tokenizer", "merge"):
+            self.__dict__.pop(name, None)
 
     def __missing__(self, word: bytes) -> bytes:
         core = word.rstrip(MARKS)
@@ -112,6 +125,7 @@ class Packer:
         return {w for _, w in self.rooms}
 
 
+@common.tidy
 def _pack_partition(batches: Iterator[pd.DataFrame], path: str, capacity: int, open_windows: int) -> Iterator[pd.DataFrame]:
     cache, packer, held = common.only(_word_ids(path)), Packer(capacity, open_windows), []
     base = TaskContext.get().partitionId() << PARTITION_SHIFT

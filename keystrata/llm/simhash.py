@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, ship, spread_join, stage
+from .common import connected_components, ship, spread_join, stage, tidy
 
 BITS, RADIUS, SEED = 64, 3, 42
 #: Buckets of up to so many fingerprints are compared pair by pair.
@@ -91,6 +91,7 @@ def masks(radius: int = RADIUS, seed: int = 7) -> list[int]:
     return out
 
 
+@tidy
 def _neighbourhood(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFrame]:
     """Each fingerprint at every point that differs in at most ``radius - 1`` of the bits outside its mask.
 

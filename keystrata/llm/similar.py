@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, drawn, fresh, only, passing, sent_if_small, ship, spread_join, stage, unstage
+from .common import connected_components, drawn, fresh, only, passing, sent_if_small, ship, spread_join, stage, tidy, unstage
 from .simhash import RADIUS, fingerprint_of, links
 from .substrings import BASES, NO_ID, _hashes, least_of_runs, mix, rolling, word_hashes
 
@@ -70,6 +70,7 @@ def name_of(hashes: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(np.unique(hashes).tobytes())).view(np.int64))
 
 
+@tidy
 def _survey(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
     only(_hashes)
     for batch in batches:
@@ -88,6 +89,7 @@ def _survey(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFram
         yield out
 
 
+@tidy
 def _sets(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
     only(_hashes)
     for batch in batches:
@@ -96,6 +98,7 @@ def _sets(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]
         yield out
 
 
+@tidy
 def _shingles(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
     only(_hashes)
     for batch in batches:
@@ -115,6 +118,7 @@ def prefix_of(hashes: np.ndarray, frequent: np.ndarray, levels: np.ndarray, simi
     return keys[: len(keys) - math.ceil(similarity * len(keys) - 1e-6) + 1]
 
 
+@tidy
 def _prefixes(batches: Iterator[pd.DataFrame], width: int, similarity: float, frequent: np.ndarray, levels: np.ndarray) -> Iterator[pd.DataFrame]:
     only(_hashes)
     for batch in batches:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, only, passing, sent_if_small, ship, spread_join, stage
+from .common import fresh, only, passing, sent_if_small, ship, spread_join, stage, tidy
 from .quality_rules import let
 
 #: Words in a window, and words in the shorter sequences that find the windows worth naming.
@@ -116,6 +116,7 @@ def anchors_of(low: np.ndarray, width: int, anchor: int) -> np.ndarray:
     return least_of_runs(mix(rolling(low, anchor, BASES[0])), width - anchor + 1)
 
 
+@tidy
 def _survey(batches: Iterator[pd.DataFrame], width: int, anchor: int) -> Iterator[pd.DataFrame]:
     """For each row its words' number and digest, a 128-bit name of its word sequence, and its distinct least anchors."""
     only(_hashes)
@@ -132,6 +133,7 @@ def _survey(batches: Iterator[pd.DataFrame], width: int, anchor: int) -> Iterato
         yield pd.DataFrame(rows, columns=["doc_id", "k", "n_words", "kept_sha256", "c1", "c2", "anchors"])
 
 
+@tidy
 def _windows(batches: Iterator[pd.DataFrame], width: int, anchor: int) -> Iterator[pd.DataFrame]:
     """Names and places of the windows whose least anchor is among the row's shared ones."""
     only(_hashes)
@@ -193,6 +195,7 @@ def repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) -> tuple[
     return survey.select("doc_id", "k", "n_words", "kept_sha256"), copies, candidates.select("doc_id", "k", "text"), gone
 
 
+@tidy
 def _kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     only(_hashes)
     for batch in batches:
@@ -241,6 +244,7 @@ def cut_text(text: str, covered: list[tuple[int, int]]) -> str:
     return "".join(out)
 
 
+@tidy
 def _remove(batches: Iterator[pa.RecordBatch], whole: str, cuts: str) -> Iterator[pa.RecordBatch]:
     only(_hashes)
     for batch in batches:
